@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and columns compress."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    freed(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(k1, k2, doc_id, text) of documents: k1 is doc_id or NO_ID, and k2 tells rows of one doc_id apart.
 
