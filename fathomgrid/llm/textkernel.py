@@ -71,11 +71,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
 class Words:
     """Words of a batch: ``start``/``end`` bytes, ``doc``, ``hash``; ``first``: of doc i, the words first[i]:first[i+1]."""
 
-    def __init__(self, col: pa.Array, lower: bool = False, hashes: bool = True) -> None:
-        data, off = flat(col)
+    def __init__(self, col: pa.Array | tuple[np.ndarray, np.ndarray], lower: bool = False, hashes: bool = True, space: np.ndarray = SPACE) -> None:
+        data, off = col if isinstance(col, tuple) else flat(col)
         self.data = data = LOWER[data] if lower else data
         self.off, n = off, len(off) - 1
-        word = ~SPACE[data]
+        word = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         before = np.concatenate(([False], word[:-1])) if len(word) else word
