@@ -46,20 +46,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, text) of documents: k1 is doc_id or NO_ID, and k2 tells rows of one doc_id apart.
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(k1, k2, doc_id, text, more) of documents: k1 is doc_id or NO_ID, and k2 tells rows of one doc_id apart.
 
     Equal rows share a key and so their results.  k2 is 0 unless a doc_id recurs.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *more)
     k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.select(k1, F.lit(0).alias("k2"), "doc_id", "text")
+        return docs.select(k1, F.lit(0).alias("k2"), "doc_id", "text", *more)
     texts = docs.select(k1, F.xxhash64("text").alias("h")).distinct()
     rank = F.row_number().over(Window.partitionBy("k1").orderBy("h")) - 1
     ranks = texts.select("k1", "h", rank.alias("k2"))
-    out = docs.select(k1, F.xxhash64("text").alias("h"), "doc_id", "text").join(ranks, ["k1", "h"])
-    return settled(out.select("k1", "k2", "doc_id", "text"))
+    out = docs.select(k1, F.xxhash64("text").alias("h"), "doc_id", "text", *more).join(ranks, ["k1", "h"])
+    return settled(out.select("k1", "k2", "doc_id", "text", *more))
 
 
 def components(edges: DataFrame) -> DataFrame:

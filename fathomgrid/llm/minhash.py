@@ -8,10 +8,12 @@ whose ``rows`` bins of a band agree share a bucket.
 
 Documents with equal sets are one class and never compared.  In a bucket, classes
 are linked to its centre (a star) and not to each other, and each link is confirmed
-on the full sets.  Members that the star leaves outside the centre's component
-become centres themselves in further rounds, in growing numbers, and are held
-against the members of other components, until none is left: only components
-count, and within one nothing more has to be compared.
+on the full sets.  Members that the stars leave outside the largest component
+around a centre become centres in a second round and are held against the members
+of other components; only components count, so within one nothing more has to be compared.
+What two members can share at most is known from what each shares with the centre:
+most pairs could only be linked by shingles that they share and the centre lacks, and
+are formed only where such a shingle brings them together.
 
 Null and empty texts, and texts of white space, have the empty set: size 0, no
 links, a component of their own.  A text with fewer words than a shingle has is one
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import textkernel as tk
-from fathomgrid.llm.base import components, keyed, settled
+from fathomgrid.llm.base import components, freed, keyed, settled, stored
 
 #: Chance that a pair at similarity 0.85 shares no bucket: (1 - 0.85**5)**28 < 1e-7; at 0.8, with 40 bands, < 1e-6.
 ROWS, BANDS = 5, 28
@@ -116,7 +118,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     Links documents with 100 * |A and B| >= percent * |A or B| over their sets of
     k-word shingles; component_id is the least doc_id of the component.
     """
-    docs = keyed(docs)
+    return grouped(keyed(docs), k, percent, rows, bands).drop("k1", "k2")
+
+
+def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """``near_duplicates`` of keyed documents, with their keys."""
     seen = settled(docs.mapInArrow(sketches(k, rows, bands), "k1 long, k2 int, doc_id long, n long, node long, bands array<long>"))
     key = F.struct("k1", "k2")
     classes = settled(seen.filter("n > 0").groupBy("node").agg(F.min(key).alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min_by("bands", key).alias("bands")))
@@ -125,48 +131,70 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     spread = classes.select("node", "key", "n", F.explode("bands").alias("b"))
     shared = settled(spread.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("key", "node", "n")).alias("c")).filter("size > 1").select("b", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
     members = settled(spread.join(shared, "b").select("b", "node", "n", "centre", "centre_n"))
-    near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    pairs = settled(members.filter(F.col("node") != F.col("centre")).filter(near(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).distinct())
+    pairs = settled(members.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).distinct())
 
     # The full sets of the classes that have a pair, and of those that may get one.
     first = settled(classes.join(members.select("node").distinct(), "node").select("node", "key.k1", "key.k2"))
-    sets = settled(docs.join(first, ["k1", "k2"]).select("node", "text").mapInArrow(sets_of(k), "node long, shingles array<long>"))
+    sets = stored(docs.join(first, ["k1", "k2"]).select("node", "text").mapInArrow(sets_of(k), "node long, shingles array<long>"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the size of the intersection, and whether it is enough."""
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return settled(both.filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b").distinct())
+        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+        return settled(both.withColumn("linked", enough(F.col("common"), F.col("na"), F.col("nb"))).distinct())
 
-    edges = confirmed(pairs)
+    def enough(common: Column, n: Column, m: Column) -> Column:
+        return common * 100 >= (n + m - common) * percent
+
+    star = compared(pairs)
+    edges = star.filter("linked").select("a", "b")
     comps = components(edges)
-    done, most = None, 8
-    while True:
-        # Members outside their centre's component that have not been centres themselves.
-        hub = comps.select(F.col("id").alias("centre"), F.col("comp").alias("hub"))
-        named = members.join(comps.withColumnRenamed("id", "node"), "node", "left").join(hub, "centre", "left")
-        named = named.withColumns({"comp": F.coalesce("comp", "node"), "hub": F.coalesce("hub", "centre")})
-        left = named.filter("comp != hub")
-        if done is not None:
-            left = left.join(done, ["b", "node"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("b").orderBy("node"))
-        turn = settled(left.withColumn("r", place).filter(F.col("r") <= most).select("b", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")))
-        if turn.isEmpty():
-            break
-        # The first star has held each member against the centre already.
-        against = named.filter("node != centre").join(turn, "b").filter("comp != cx").filter(near(F.col("n"), F.col("nx")))
-        x, y = F.struct(F.col("x").alias("a"), F.col("nx").alias("na")), F.struct(F.col("node").alias("a"), F.col("n").alias("na"))
-        ends = against.select(F.least(x, y).alias("l"), F.greatest(x, y).alias("g")).distinct()
-        more = confirmed(ends.select("l.a", F.col("g.a").alias("b"), "l.na", F.col("g.na").alias("nb")))
+    freed(docs.sparkSession)
+
+    # Members outside the largest component around a centre, held against the centre's other members.
+    alike = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    homes = star.groupBy("b").agg(F.max(F.struct(alike, "a")).alias("h")).select("b", F.col("h.a").alias("home"))
+    around = star.join(homes, "b").select("a", "b", F.col("nb").alias("n"), "common", "home")
+    itself = star.select("a", F.col("a").alias("b"), F.col("na").alias("n"), F.col("na").cast("int").alias("common"), F.col("a").alias("home")).distinct()
+    named = around.union(itself).join(comps.select(F.col("id").alias("b"), "comp"), "b", "left")
+    named = settled(named.select("a", "b", "n", "common", "home", F.coalesce("comp", "b").alias("comp")))
+    main = named.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "comp")).alias("main"))
+    named = named.filter("a != b")  # the star has compared the centre
+    x = settled(named.join(settled(main), "a").filter("comp != main.comp").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("common").alias("rx"), F.col("comp").alias("cx"), F.col("home").alias("hx")))
+    if not x.isEmpty():
+        named = settled(named.join(x.select("a").distinct(), "a", "left_semi"))
+        # With R the centre's set, |X and Y| <= min(|X and R|, |Y and R|) + |(X - R) and (Y - R)|: a pair that
+        # can't be linked without a shared shingle outside R is looked for under such shingles only.
+        # Two members whose likest centre is the same one meet there only.
+        apart = (F.col("comp") != F.col("cx")) & ((F.col("home") != F.col("hx")) | (F.col("home") == F.col("a")))
+        within = F.least("rx", "common")
+        most = within + F.least(F.col("nx") - F.col("rx"), F.col("n") - F.col("common"))
+        close = named.join(x, "a").filter(apart & enough(within, F.col("nx"), F.col("n")))
+        centres, theirs = sets.select(F.col("node").alias("a"), F.col("shingles").alias("r")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s"))
+        outside = named.join(theirs, "b").join(centres, "a").select("a", "b", F.explode(F.array_except("s", "r")).alias("h"))
+        recurs = stored(outside.groupBy("a", "h").agg(F.count("*").alias("c")).filter("c > 1"))
+        outside = stored(outside.join(recurs, ["a", "h"]).join(named, ["a", "b"]))
+        # Of x's shingles outside R a partner shares at least ``least``: the rarest ones but least - 1 hold one of them.
+        small = named.groupBy("a").agg(F.min("n").alias("small"))
+        mine = Window.partitionBy("a", "x")
+        least = F.ceil((F.col("nx") + F.greatest("small", F.col("nx") * percent / 100)) * (percent / (100 + percent)) - 1e-9) - F.col("rx")
+        other = x.join(small, "a").join(outside.select("a", F.col("b").alias("x"), "h", "c"), ["a", "x"])
+        other = other.withColumns({"place": F.row_number().over(mine.orderBy("c", "h")), "of": F.count("*").over(mine)})
+        other = other.filter(F.col("place") <= F.col("of") - F.greatest(least, F.lit(1)) + 1).select("a", "h", "x", "nx", "rx", "cx", "hx")
+        akin = outside.join(other, ["a", "h"]).filter(apart & enough(most, F.col("nx"), F.col("n")))
+        columns = ["x", "nx", "b", "n"]
+        against = close.select(*columns).union(akin.select(*columns))
+        p, q = F.struct(F.col("x").alias("v"), F.col("nx").alias("n")), F.struct(F.col("b").alias("v"), F.col("n").alias("n"))
+        ends = against.select(F.least(p, q).alias("l"), F.greatest(p, q).alias("g")).distinct()
+        more = compared(settled(ends.select(F.col("l.v").alias("a"), F.col("g.v").alias("b"), F.col("l.n").alias("na"), F.col("g.n").alias("nb"))))
+        more = more.filter("linked").select("a", "b")
         if not more.isEmpty():
-            edges = edges.union(more)
-            comps = components(edges)
-        spent = turn.select("b", F.col("x").alias("node"))
-        done, most = spent if done is None else done.union(spent), most * 4
+            comps = components(edges.union(more))
 
     placed = classes.select("node", "least").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = settled(placed.join(lowest, "comp").select("node", "component_id"))
-    out = seen.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
+    out = seen.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
