@@ -78,15 +78,19 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPAN
     return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
 
 
+def left(text: Column, drop: Column) -> Column:
+    """``text`` without the lines at positions ``drop``; null ``drop`` leaves it as it is."""
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i))
+    return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPANY) -> DataFrame:
-    """(k1, k2, doc_id, n_lines, n_dropped, kept_text) of every row of ``docs``; the text of null stays null."""
+    """(doc_id, n_lines, n_dropped, kept_text) of every row of ``docs``; the text of null stays null."""
     docs = keyed(docs)
-    drop = recurring(docs, min_docs, company)
-    joined = docs.join(drop, ["k1", "k2"], "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
-    count = F.coalesce(F.size(F.col("drop")), F.lit(0))
-    return joined.select("k1", "k2", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(count).cast("long").alias("n_dropped"), F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    joined = docs.join(recurring(docs, min_docs, company), ["k1", "k2"], "left")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    gone = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
+    return joined.select("doc_id", count.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), left(F.col("text"), F.col("drop")).alias("kept_text"))
 
 
 #: The same rows in DuckDB.

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import decontam, langid, linetree, minhash, mixing, phrases, quality, runs
+from fathomgrid.llm import decontam, langid, linetree, loglinear, minhash, mixing, phrases, quality, runs, styletree
 from fathomgrid.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_styletree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = styletree.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -21,6 +26,13 @@ def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.without_repeats(table(spark, sf_dir, "documents"), window=400).drop("kept")
 
 
+def op4_loglinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id")) % 5 == 1
+    out = loglinear.scored(docs, docs.filter(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrases.without_repeats(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -52,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash, op3_run_index, op5_phrases, op6_linetree, op7_langid, op8_decontam, op9_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_styletree, op2_minhash, op3_run_index, op4_loglinear, op5_phrases, op6_linetree, op7_langid, op8_decontam, op9_mixing, op10_quality)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op6_linetree": linetree.SQL}
