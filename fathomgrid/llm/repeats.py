@@ -74,7 +74,7 @@ def segments(unit: Unit):  # noqa: ANN201
             one = tk.sliding_min(hashes ^ place ^ LOW, width) ^ LOW
             two = tk.sliding_min(hashes ^ place, width)
             least = one | LOW
-            tie = (one ^ two) & LOW != LOW  # a window with its least gram at two places may equal one of the same run
+            tie = (one ^ two) & LOW != 0  # a window with its least gram at two places may equal one of the same run
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
             lo, hi = tk.runs(doc[:n] == doc[unit.window - 1 :], least)
             if not len(lo):
