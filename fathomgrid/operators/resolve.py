@@ -40,11 +40,12 @@ def jaccard_within(sets: DataFrame, group: str, key: str) -> DataFrame:
     return both.select(group, "a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
 
 
-def sketch_matches(left: DataFrame, right: DataFrame, k: int = 3, size: int = 32, most: int = 200, candidates: int = 40, threshold: float = 0.4) -> DataFrame:
+def sketch_matches(left: DataFrame, right: DataFrame, k: int = 3, size: int = 32, most: int = 200, candidates: int = 40, threshold: float = 0.4, others: bool = False) -> DataFrame:
     """(id, match, jaccard): each left text's best right text by sketch votes, then exact shingle similarity.
 
     Sketch values that more than ``most`` right texts have don't vote, and the
     ``candidates`` with most votes are compared: both are the measured design.
+    ``others``: a text is not its own match.
     """
     def prepared(df: DataFrame) -> DataFrame:
         return df.select("id", F.explode(F.array_distinct(sketch(F.col("text"), k, size))).alias("h")).filter("h != 4294967295")
@@ -52,6 +53,7 @@ def sketch_matches(left: DataFrame, right: DataFrame, k: int = 3, size: int = 32
     votes = prepared(right).withColumnRenamed("id", "match")
     rare = votes.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") <= most).select("h")
     pairs = prepared(left).join(votes.join(rare, "h", "left_semi"), "h").groupBy("id", "match").agg(F.count("*").alias("votes"))
+    pairs = pairs.filter("id != match") if others else pairs
     w = Window.partitionBy("id").orderBy(F.desc("votes"), "match")
     few = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= candidates).select("id", "match")
     sets = lambda df, name, out: df.select(F.col("id").alias(name), F.array_distinct(shingles(tokens(F.col("text")), k)).alias(out))
