@@ -92,11 +92,13 @@ class Items:
             lo, hi = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
             times = hi - lo
             pos = np.repeat(at, times)
+            if not len(pos):
+                continue
             item = owner[np.repeat(lo, times) + np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times)]
             doc = w.doc[pos]
             order = np.lexsort((pos, item, doc))
             pos, item, doc = pos[order], item[order], doc[order]
-            cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))) if len(pos) else []
+            cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]))))
             for x, y in zip(cut, [*cut[1:], len(pos)], strict=True):
                 self._windows(w, grams, width, int(doc[x]), int(item[x]), pos[x:y], best)
         for (d, i), (score, start) in best.items():
