@@ -51,9 +51,11 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(shingles[e - s : e]) for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
 
-def draws(bins: int) -> np.ndarray:
-    """For each bin, the order in which it looks for a filled one: 64 random draws."""
-    return np.random.Generator(np.random.PCG64(7)).integers(0, bins, (64, bins))
+def draws(bins: int) -> Iterator[np.ndarray]:
+    """The bins in which each bin looks for a value, turn by turn: the same random draws for every set."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    for _ in range(8 * bins):
+        yield rng.integers(0, bins, bins)
 
 
 def signature(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -66,17 +68,16 @@ def signature(sets: list[np.ndarray], bins: int) -> np.ndarray:
             at = np.searchsorted(s, bounds)
             full[i] = at < np.append(at[1:], len(s))
             out[i] = s[np.minimum(at, len(s) - 1)]
-    some, table = full.any(axis=1), draws(bins)
-    have, first = full.copy(), np.argmax(full, axis=1)
-    for turn in [*table, None]:
-        left = ~have & some[:, None]
-        if not left.any():
+    some = full.any(axis=1)
+    i, j = np.nonzero(~full & some[:, None])
+    for turn in draws(bins):
+        if not len(i):
             break
-        i, j = np.nonzero(left)
-        source = first[i] if turn is None else turn[j]
+        source = turn[j]
         ok = full[i, source]
         out[i[ok], j[ok]] = tk.mix(out[i[ok], source[ok]] + tk.U(1))
-        have[i[ok], j[ok]] = True
+        i, j = i[~ok], j[~ok]
+    out[i, j] = tk.mix(out[i, np.argmax(full, axis=1)[i]] + tk.U(1))
     out[~some] = 0
     return out
 
