@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 
 from fathomgrid.llm.base import keyed, settled, stored
 
-SPACES = r"[\x20\x09-\x0D]+"
+SPACES = "\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
-FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+FIELD = "[^ ]*[0-9][^ ]*"
 VARIABLE = "<*>"
 DEPTH, CONSTANT, MIN_TOKENS, MIN_DOCS, COMPANY = 3, 0.6, 3, 10, 0.1
 
 
 def tokens(line: Column) -> Column:
     """Tokens of a line, with those that hold a digit generalised."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, VARIABLE)).otherwise(line)
-    return F.filter(F.split(masked, SPACES), lambda t: t != "")
+    plain = F.translate(line, SPACES, " " * len(SPACES))
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, FIELD, VARIABLE)).otherwise(plain)
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -50,9 +51,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPAN
     flat = stored(lines.select("k1", "k2", "pos", F.size("tokens").alias("n"), leaf, own))
 
     # Leaves with several lines, and their templates.
-    mixed = settled(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x != y").select("leaf"))
-    kinds = lines.select(leaf, own, "tokens").join(mixed, "leaf", "left_semi").groupBy("leaf", "own").agg(F.first("tokens").alias("tokens"), F.count("*").alias("c"))
-    kinds = stored(kinds)
+    mixed = stored(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x != y").select("leaf"))
+    kinds = flat.join(mixed, "leaf", "left_semi").groupBy("leaf", "own").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
+    wanted = kinds.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "leaf", "own", "c")).alias("w"))
+    kinds = docs.join(wanted, ["k1", "k2"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
+    kinds = stored(kinds.select("w.leaf", "w.own", "w.c", tokens(F.element_at("l", F.col("w.pos") + 1)).alias("tokens")))
     votes = kinds.select("leaf", "c", F.posexplode("tokens").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("c").alias("c"))
     best = votes.groupBy("leaf", "p").agg(F.max(F.struct("c", "t")).alias("m"), F.sum("c").alias("all"))
     part = best.select("leaf", F.struct("p", F.when(F.col("m.c") * 2 >= F.col("all"), F.col("m.t")).otherwise(VARIABLE).alias("t")).alias("pt"))
