@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+#: Rows that go to a Python worker at once: texts are long, and a worker holds a few copies of them.
+BATCH = "500"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches become small from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -155,6 +155,8 @@ def sharded(engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], mos
                 size += len(r["content"])
         if rows:
             yield flush()
+            rows = []
+        tk.released()
 
     return run
 
@@ -165,7 +167,7 @@ def bounds(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def repeated_windows(docs: DataFrame, unit: Unit, engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], keep_first: bool, most: int = 2_000_000, wide: int = WIDE) -> DataFrame:
+def repeated_windows(docs: DataFrame, unit: Unit, engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], keep_first: bool, most: int = 1_000_000, wide: int = WIDE) -> DataFrame:
     """(k1, k2, spans) of keyed documents: spans [lo, hi) of starts of windows to remove, ``array<struct<lo,hi>>``.
 
     ``keep_first``: of equal windows the first place stays; else all go.

@@ -9,12 +9,14 @@ bounds the memory of a worker whatever the batch size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -55,6 +57,13 @@ def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def released() -> None:
+    """Gives freed memory back to the system: workers stay, and share a machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of text, or one text."""
     for batch in batches:
@@ -66,6 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             to = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    released()
 
 
 class Words:
