@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +29,28 @@ def slug(title: Column) -> Column:
     return F.when(s == "", "section").otherwise(s)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(words: Column, k: int) -> Column:
     """Runs of k words joined by a space; of fewer words, none."""
-    n = F.size(words) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w) - k + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, of)
 
 
 def sketch(source: Column, k: int = 3, size: int = 32) -> Column:
     """The ``size`` least distinct crc32 values of the 3-grams of ``[alnum_]+`` tokens, padded; fewer tokens: the source's own crc32."""
     words = F.regexp_extract_all(source, F.lit(r"([\p{IsAlphabetic}\p{N}_]+)"), F.lit(1))
-    of = F.when(F.size(words) < k, F.array(F.crc32(source.cast("binary")))).otherwise(F.transform(shingles(words, k), lambda g: F.crc32(g.cast("binary"))))
+    few = F.array(F.crc32(source.cast("binary")))
+    of = let(words, lambda w: F.when(F.size(w) < k, few).otherwise(F.transform(shingles(w, k), lambda g: F.crc32(g.cast("binary")))))
     least = F.slice(F.array_sort(F.array_distinct(of)), 1, size)
-    return F.concat(least, F.array_repeat(F.lit(NO_MAX).cast("long"), F.lit(size) - F.size(least)))
+    return let(least, lambda v: F.concat(v, F.array_repeat(F.lit(NO_MAX).cast("long"), F.lit(size) - F.size(v))))
 
 
 def preview(text: Column, n: int = 200) -> Column:

@@ -34,7 +34,8 @@ def symbol_ladder(old: DataFrame, now: DataFrame, alias: DataFrame) -> DataFrame
 
 def jaccard_within(sets: DataFrame, group: str, key: str) -> DataFrame:
     """(group, a, b, jaccard) of the pairs a < b of a group that share an element of ``s``."""
-    sized = sets.select(group, key, F.explode("s").alias("g"), F.size("s").alias("n"))
+    each = sets.select(group, key, F.explode("s").alias("g"))
+    sized = each.join(each.groupBy(group, key).agg(F.count("*").alias("n")), [group, key])
     a, b = sized.select(group, F.col(key).alias("a"), "g", F.col("n").alias("na")), sized.select(group, F.col(key).alias("b"), "g", F.col("n").alias("nb"))
     both = a.join(b, [group, "g"]).filter("a < b").groupBy(group, "a", "b", "na", "nb").agg(F.count("*").alias("k"))
     return both.select(group, "a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))

@@ -11,8 +11,12 @@ K1, B, TF_MAX = 1.2, 0.75, 255
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(term, key, tf) with tf at most 255."""
-    terms = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    """(term, key, tf) with tf at most 255.
+
+    Dealing whole documents by key moves less than their terms would, and the count
+    by key and term then needs no exchange of its own.
+    """
+    terms = docs.select(key, text).repartition(key).select(key, F.explode(tokens(F.col(text))).alias("term"))
     return terms.groupBy("term", key).agg(F.least(F.count("*"), F.lit(TF_MAX)).cast("int").alias("tf"))
 
 
