@@ -29,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm.base import settled, stored
+from fathomgrid.llm.textkernel import released
 
 LEAST, MIX, LOW_NODE, LOW_NODE_INSIDE, LOW_TEXT = 5, 0.1, 0.35, 0.15, 0.25
 
@@ -156,31 +158,59 @@ def blocks(page: str, paths: dict) -> list[tuple[int, str, bool, bool, float]]:
     return out
 
 
-def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (page_id, url, html) to pages with their blocks; ``use`` says what the priors keep."""
+def host_of(url: str | None) -> int:
+    """A hash of the host of a url; null and odd urls share one."""
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+    return xxhash.xxh3_64_intdigest(m[1].lower() if m else "") >> 1
+
+
+def each_page(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[tuple[int, int, str, bool, bool, bool]]]]]:
+    """(slice, hosts, blocks) of some pages at a time; a block is (style, hash, text, noise, inside, use): ``use`` is what the priors keep."""
     paths: dict = {}
-    block = pa.struct([("style", pa.int64()), ("h", pa.int64()), ("inside", pa.bool_()), ("use", pa.bool_())])
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            b = batch.slice(at, 256)
-            rows: list[tuple] = []
+        for at in range(0, batch.num_rows, 64):
+            b = batch.slice(at, 64)
+            pages = []
             if len(paths) > 200_000:
                 paths.clear()
-            for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+            for page in b.column("html").to_pylist():
                 found = blocks(page or "", paths)
-                inside = any(i and not n for _, _, n, i, _ in found)
-                host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-                longest = max((t for _, t, n, _, _ in found if not n), key=len, default="")
-                meta = [{"style": s, "h": xxhash.xxh3_64_intdigest(t) >> 1, "inside": i, "use": not n and (i if inside else k <= 0.5)} for s, t, n, i, k in found]
-                rows.append((host[1].lower() if host else "", xxhash.xxh3_64_intdigest(longest) >> 1, meta, [t for _, t, *_ in found]))
-            host, prints, meta, texts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(host), pa.array(prints, pa.int64()), pa.array(meta, pa.list_(block)), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "print", "blocks", "texts"])
-
-
-def importance(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, style, h, k, content) of texts, and (host, style, m, importance) of the nodes of the tree."""
-    each = pages.select("host", "print", F.explode("blocks").alias("b")).select("host", "print", "b.style", "b.h")
-    texts = each.distinct().groupBy("host", "style", "h").agg(F.count("*").alias("k"))
+                main = any(i and not n for _, _, n, i, _ in found)
+                pages.append([(s, xxhash.xxh3_64_intdigest(t) >> 1, t, n, i, not n and (i if main else k <= 0.5)) for s, t, n, i, k in found])
+            yield b, [host_of(u) for u in b.column("url").to_pylist()], pages
+    released()
+
+
+def styled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: pages to one row for each block, without its text."""
+    names = ["host", "print", "style", "h", "use"]
+    for _, hosts, pages in each_page(batches):
+        rows = []
+        for host, page in zip(hosts, pages, strict=True):
+            longest = max((b for b in page if not b[3]), key=lambda b: len(b[2]), default=None)
+            rows += [(host, longest[1] if longest else 0, b[0], b[1], b[5]) for b in page]
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=names)
+
+
+def kept_text(low: dict[tuple[int, int, int], bool]):  # noqa: ANN201
+    """A mapInArrow function: pages to (page_id, url, text) without blocks in ``low``; inside the main part only the sure ones go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hosts, pages in each_page(batches):
+            texts = []
+            for host, page in zip(hosts, pages, strict=True):
+                left = [t for style, h, t, _, inside, use in page if use and not ((sure := low.get((host, style, h))) or (sure is not None and not inside))]
+                texts.append("\n\n".join(left))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def importance(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, style, h, k, content, use) of texts, and (host, style, m, importance) of the nodes of the tree."""
+    texts = each.groupBy("host", "style", "h", "print").agg(F.bool_or("use").alias("use")).groupBy("host", "style", "h").agg(F.count("*").alias("k"), F.bool_or("use").alias("use"))
     times = each.groupBy("host", "style", "print").agg(F.count("*").alias("times"))
     variants = times.groupBy("host", "style", "times").agg(F.count("*").alias("c"))
     shape = variants.groupBy("host", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -192,14 +222,34 @@ def importance(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, settled(nodes)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
-    ready = stored(pages.select("page_id", "url", "html").mapInArrow(parsed, "page_id long, url string, host string, print long, blocks array<struct<style:long,h:long,inside:boolean,use:boolean>>, texts array<string>").withColumn("row", F.monotonically_increasing_id()))
-    texts, nodes = importance(ready)
-    both = texts.select("host", "style", "h", "content").join(nodes.filter(F.col("m") >= LEAST), ["host", "style"])
-    low = settled(both.filter((F.col("importance") < LOW_NODE) | (F.col("content") < LOW_TEXT)).select("host", "style", "h", (F.col("importance") < LOW_NODE_INSIDE).alias("sure")))
-    at = ready.select("row", "host", F.posexplode("blocks").alias("i", "b")).filter("b.use").select("row", "i", "host", "b.style", "b.h", "b.inside")
-    gone = at.join(low, ["host", "style", "h"]).filter("sure or not inside").groupBy("row").agg(F.collect_set("i").alias("gone"))
-    out = ready.join(gone, "row", "left")
-    left = F.filter("texts", lambda _, i: F.element_at("blocks", i + 1)["use"] & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return out.select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
+def main_text(pages: DataFrame, most: int = 200_000) -> DataFrame:
+    """(page_id, url, text) of every row of ``pages`` (page_id, url, html).
+
+    Pages are parsed twice, so that no text is shuffled: once for the tree, once to
+    cut.  Texts and nodes of low importance travel with the tasks, in parts by host of
+    about ``most`` rows; with several parts each is written before the next is made.
+    """
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    texts, nodes = importance(stored(pages.select("url", "html").mapInArrow(styled, "host long, print long, style long, h long, use boolean")))
+    both = texts.filter("use").select("host", "style", "h", "content").join(nodes.filter(F.col("m") >= LEAST), ["host", "style"])
+    low = stored(both.filter((F.col("importance") < LOW_NODE) | (F.col("content") < LOW_TEXT)).select("host", "style", "h", (F.col("importance") < LOW_NODE_INSIDE).alias("sure")))
+    parts = max(1, -(-low.count() // most))
+    schema, out = "page_id long, url string, text string", []
+    for i in range(parts):
+        rows = low.filter(F.pmod("host", F.lit(parts)) == i).collect()
+        known = {(r.host, r.style, r.h): r.sure for r in rows}
+        if parts == 1:
+            return pages.mapInArrow(kept_text(known), schema)
+        here = pages.mapInArrow(only(parts, i), pages.schema)
+        out.append(stored(here.mapInArrow(kept_text(known), schema)))
+    return reduce(DataFrame.union, out)
+
+
+def only(parts: int, part: int):  # noqa: ANN201
+    """A mapInArrow function that keeps the pages of the hosts of one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([host_of(u) % parts == part for u in b.column("url").to_pylist()]))
+
+    return run

@@ -41,6 +41,7 @@ def test_site_style_tree_removes_what_a_host_repeats(spark):
         rows.append((i, f"https://host.example/{i}", f'<body><div class="top"><p>Welcome to the site of everything</p></div><div class="body"><p>{prose(i, 40)}</p><p>{prose(i + 100, 30)}</p></div><div class="end"><p>All of this belongs to us</p></div></body>'))
     rows.append((99, "https://other.example/1", "<body><div class='top'><p>Welcome to the site of everything</p></div></body>"))
     got = {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows)).collect()}
+    assert {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows), most=1).collect()} == got
     assert all(got[i] == f"{prose(i, 40)}\n\n{prose(i + 100, 30)}" for i in range(30))
     assert got[99] == "Welcome to the site of everything"
 
