@@ -13,8 +13,9 @@ Noise-contrastive estimation fits R, Q1, Q2 and b to these counts in numpy, with
 unigram distribution as noise and all noise terms in expectation.  The two weights x
 are chosen by exact likelihood over a sample of at most ``TUNE`` training tokens.
 
-Counts of the ``KNOWN`` most frequent words travel with the tasks; the others' come
-from a join on the word's hash.  Null texts are empty: just the end token.  Rows are
+Counts of the most frequent words, at most ``KNOWN`` and cut where counts differ by a
+sixteenth of a power of two, travel with the tasks; the others' come from a join on
+the word's hash.  Null texts are empty: just the end token.  Rows are
 scored one by one, equal rows get equal scores.  Without training documents all words
 are unseen.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from fathomgrid.llm import textkernel as tk
 from fathomgrid.llm.base import keyed, settled, stored
 
-HEAD, CLASSES, WIDTH, KNOWN, TUNE, NOISE, ROUNDS = 767, 256, 40, 300_000, 200_000, 20, 150
+HEAD, CLASSES, WIDTH, KNOWN, TUNE, NOISE, ROUNDS = 767, 256, 40, 200_000, 200_000, 20, 150
 SIZE = HEAD + CLASSES + 1  # output 0 is the end, then the head words, then the classes
 LN10 = float(np.log(10))
 
@@ -215,11 +216,23 @@ def scorer(lexicon: Lexicon, model: Model, within: np.ndarray):  # noqa: ANN201
     return run
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The words of the highest counts, at most KNOWN, found by a histogram of some hundred classes of counts."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        taken += r.n
+        if taken > KNOWN:
+            break
+        least = r.level
+    return counts.filter(level >= least if least is not None else F.lit(False))
+
+
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``; learns from ``training``."""
     counts = stored(training.select("text").mapInArrow(counted, "h long, cls int, c long").groupBy("h").agg(F.first("cls").alias("cls"), F.sum("c").alias("c")))
     ends = training.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    top = frequent(counts).toPandas().sort_values(["c", "h"], ascending=[False, True]).reset_index(drop=True)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(total) + ends, int(distinct) + (ends > 0)
     output = np.zeros(len(top), np.int64)
