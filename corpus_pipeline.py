@@ -36,9 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text"))).dropDuplicates(["k1", "k2"])
+    rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
     kept = minhash.grouped(rows.select("k1", "k2", "doc_id", "text"), k=5, percent=80, rows=5, bands=40).filter("kept").select("k1", "k2")
-    return rows.join(kept, ["k1", "k2"], "left_semi").select(*docs.columns)
+    return rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,11 +129,13 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
     classes = settled(seen.filter("n > 0").groupBy("node").agg(F.min(key).alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min_by("bands", key).alias("bands")))
 
     # Buckets of two classes and more, and their centres: the earliest document is the likeliest source of the others.
-    spread = classes.select("node", "key", "n", F.explode("bands").alias("b"))
-    shared = settled(spread.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("key", "node", "n")).alias("c")).filter("size > 1").select("b", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
-    members = settled(spread.join(shared, "b").select("b", "node", "n", "centre", "centre_n"))
+    spread = classes.select("node", F.col("key.k1").alias("k1"), "n", F.explode("bands").alias("b"))
+    shared = settled(spread.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("k1", "node", "n")).alias("c")).filter("size > 1").select("b", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
+    freed(docs.sparkSession)
+    members = settled(spread.drop("k1").join(shared, "b").select("b", "node", "n", "centre", "centre_n"))
     pairs = settled(members.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).distinct())
 
+    freed(docs.sparkSession)
     # The full sets of the classes that have a pair, and of those that may get one.
     first = settled(classes.join(members.select("node").distinct(), "node").select("node", "key.k1", "key.k2"))
     sets = stored(docs.join(first, ["k1", "k2"]).select("node", "text").mapInArrow(sets_of(k), "node long, shingles array<long>"))
