@@ -99,6 +99,12 @@ def imported(imports: DataFrame, files: DataFrame) -> DataFrame:
     return _link(out.filter("source != target"), "imports", "parser")
 
 
+def notebook_uses(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """R5: notebooks to the modules of the tree that they import by absolute name."""
+    rows = imports.filter((ext(F.col("path")) == "ipynb") & F.col("spec").rlike(r"^[^.]")).select(F.col("path").alias("source"), F.replace("spec", F.lit("."), F.lit("/")).alias("base"))
+    return _link(links.first_candidate(rows, F.col("base"), [".py", "/__init__.py"], files).select("source", "target"), "uses", "suggested", "probable")
+
+
 def mentioned(docstrings: DataFrame, symbols: DataFrame) -> DataFrame:
     """R3: words of docstrings (path, text) that look like identifiers and name a symbol of exactly one other file."""
     words = docstrings.select(F.col("path").alias("source"), F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))).alias("token")).filter(looks_like_identifier(F.col("token")))

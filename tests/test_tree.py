@@ -94,6 +94,12 @@ def test_imports(spark):
     assert {(r["from"], r["to"]) for r in got.collect()} == {("src/a.ts", "src/b.tsx"), ("p/m.py", "p/util.py"), ("k/src/lib.rs", "k/src/x.rs"), ("k/src/lib.rs", "k/src/a/b.rs")}
 
 
+def test_notebook_imports(spark):
+    nb = json.dumps({"cells": [{"cell_type": "code", "source": "import pkg.mod\nimport os\nfrom pkg import x"}]})
+    c = content(spark, {"n.ipynb": nb, "pkg/mod.py": "", "pkg/__init__.py": ""})
+    assert {r["to"] for r in suggest.notebook_uses(parsers.imports(c), c.select("path")).collect()} == {"pkg/mod.py", "pkg/__init__.py"}
+
+
 def test_references(spark):
     c = content(spark, {"a.toml": 'x = "lint.py"\ny = "https://lint.py"\nz = "/lint.py"\nw = "none.py"', "b.yaml": "k: lint.py", "lint.py": ""})
     assert {(r["from"], r["to"]) for r in suggest.referenced(parsers.symbols(c), c.select("path")).collect()} == {("a.toml", "lint.py"), ("b.yaml", "lint.py")}
