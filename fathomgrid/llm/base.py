@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,9 +39,15 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def freed(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of results that are no longer referred to.
+
+    Twice, with a pause: the end of a query still refers to it for a moment, and what
+    Python lets go of reaches the JVM's collector only after that.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def stored(df: DataFrame) -> DataFrame:
