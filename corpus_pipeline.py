@@ -13,13 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontam, linetree, minhash, mixing, quality
-from fathomgrid.llm.base import keyed, shared_folder, table
+from fathomgrid.llm.base import keyed, shared_folder, stored, table
 
 
 def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(k1, k2, group) of keyed documents: near-duplicates, by five-word shingles at similarity 0.8 or more, share a group."""
+    own = rows.select("k1", "k2", F.xxhash64("k1", "k2").alias("doc_id"), "text")  # doc_ids may be null or clash
+    return minhash.grouped(own, k=5, percent=80, rows=5, bands=40).select("k1", "k2", F.col("component_id").alias("group"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
     verdict = quality.judged(docs.select(_row().alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("row")).distinct()
@@ -27,9 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of templates that recur across documents."""
+    """All documents, without the lines of templates that recur across documents other than near copies."""
     rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
-    drop = linetree.recurring(rows.select("k1", "k2", "text"))
+    copies = stored(_groups(rows).filter(F.col("group") != F.xxhash64("k1", "k2")))
+    drop = linetree.boilerplate(rows.select("k1", "k2", "text"), copies)
     out = rows.join(drop, ["k1", "k2"], "left").withColumn("text", linetree.left(F.col("text"), F.col("drop")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -13,6 +13,12 @@ of its places.  Text around a boilerplate line changes from document to document
 lines of copied documents keep their neighbours and are left to the near-duplicate
 stage.  All lines of recurring templates are dropped.
 
+That is ``recurring``, the rule that the SQL at the end states.  ``boilerplate`` knows
+which documents are near copies of each other and needs no neighbours: a template
+recurs if it stands in documents of ``min_docs`` groups of near copies or more, a
+document without copies being a group of its own.  So all lines of a footer go, and
+any number of copies counts once.
+
 Null texts have no lines.  Lines without words stay.  Equal rows count as one
 document and get equal results.
 """
@@ -43,8 +49,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPANY) -> DataFrame:
-    """(k1, k2, drop): positions of the lines to drop, for documents that have some."""
+def templates(docs: DataFrame) -> DataFrame:
+    """(k1, k2, pos, n, t): token count and template of each line."""
     lines = lines_of(docs).withColumn("tokens", tokens(F.col("line"))).drop("line")
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")
     own = F.xxhash64("tokens").alias("own")
@@ -65,7 +71,12 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPAN
     agree = F.forall(F.zip_with("template", "tokens", lambda a, b: (a == VARIABLE) | (a == b)), lambda x: x)
     general = settled(kinds.join(whole, "leaf").filter(agree).select("own", F.xxhash64(F.lit("template"), "template").alias("general")))
 
-    named = flat.join(general, "own", "left").select("k1", "k2", "pos", "n", F.coalesce("general", "own").alias("t"))
+    return flat.join(general, "own", "left").select("k1", "k2", "pos", "n", F.coalesce("general", "own").alias("t"))
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPANY) -> DataFrame:
+    """(k1, k2, drop): positions of the lines to drop, for documents that have some."""
+    named = templates(docs)
     w = Window.partitionBy("k1", "k2").orderBy("pos")
     named = stored(named.select("*", F.lag("t").over(w).alias("before"), F.lead("t").over(w).alias("after")))
     spread = named.filter(F.col("n") >= MIN_TOKENS).select("t", "k1", "k2").distinct().groupBy("t").agg(F.count("*").alias("docs"))
@@ -81,6 +92,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPAN
     return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
 
 
+def boilerplate(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(k1, k2, drop) like ``recurring``; ``groups`` (k1, k2, group) has the documents with near copies, or all."""
+    named = stored(templates(docs))
+    at = named.filter(F.col("n") >= MIN_TOKENS).select("t", "k1", "k2").distinct()
+    votes = at.join(groups.select("k1", "k2", "group").distinct(), ["k1", "k2"], "left").select("t", F.coalesce("group", F.xxhash64("k1", "k2")).alias("group")).distinct()
+    boiler = votes.groupBy("t").agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_docs).select("t")
+    return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+
+
 def left(text: Column, drop: Column) -> Column:
     """``text`` without the lines at positions ``drop``; null ``drop`` leaves it as it is."""
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i))

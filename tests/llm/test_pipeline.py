@@ -37,3 +37,25 @@ def test_line_dedup_takes_effect(spark, folder):
     docs = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert docs.filter("text like '%rights reserved%'").count() == 0 and docs.count() == 85
     assert docs.filter("n_chars != length(text)").count() == 0
+
+
+def lines_left(spark, folder, texts):
+    rows = [(i, t, "en", "a", len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
+
+
+def test_line_dedup_takes_headers_and_footers_of_several_lines(spark, folder):
+    body = {i: prose(3000 + i, 30) + "\n" + prose(4000 + i, 30) for i in range(36)}
+    head, foot = "Welcome to our site\nNews from the whole region", "All rights reserved by us\nWritten by people like you\nSend us your own letters"
+    texts = {i: f"{head}\n{b}" if i < 12 else f"{b}\n{foot}" if i < 24 else f"{head}\n{b}\n{foot}" for i, b in body.items()}
+    assert lines_left(spark, folder, texts) == body
+
+
+def test_line_dedup_counts_copies_once(spark, folder):
+    body = {i: prose(3000 + i, 30) + "\nAll rights reserved by us\n" + prose(4000 + i, 30) for i in range(20)}
+    body |= {100 + i: body[0] for i in range(10)}  # a third of the line's places
+    want = {i: t.replace("All rights reserved by us\n", "") for i, t in body.items()}
+    lines = [prose(6000 + j, 25) for j in range(12)]
+    near = {200 + i: "\n".join([*lines[: i % 12], lines[i % 12] + f" edit{i}", *lines[i % 12 + 1 :]]) for i in range(30)}
+    assert lines_left(spark, folder, body | near) == want | near
