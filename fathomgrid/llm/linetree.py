@@ -17,7 +17,9 @@ That is ``recurring``, the rule that the SQL at the end states.  ``boilerplate``
 which documents are near copies of each other and needs no neighbours: a template
 recurs if it stands in documents of ``min_docs`` groups of near copies or more, a
 document without copies being a group of its own.  So all lines of a footer go, and
-any number of copies counts once.
+any number of copies counts once.  Lines of fewer than ``MIN_TOKENS`` tokens count there
+as well, each as a template of its own, by their exact text if they are fields only.
+``recurring`` passes over them, as its SQL does.
 
 Null texts have no lines.  Lines without words stay.  Equal rows count as one
 document and get equal results.
@@ -49,12 +51,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """(k1, k2, pos, n, t): token count and template of each line."""
-    lines = lines_of(docs).withColumn("tokens", tokens(F.col("line"))).drop("line")
+def templates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(k1, k2, pos, n, t): token count and template of each line; ``exact``: short lines of fields only go by their text."""
+    lines = lines_of(docs).withColumn("tokens", tokens(F.col("line")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")
-    own = F.xxhash64("tokens").alias("own")
-    flat = stored(lines.select("k1", "k2", "pos", F.size("tokens").alias("n"), leaf, own))
+    own = F.xxhash64("tokens")
+    if exact:
+        bare = (F.size("tokens") < MIN_TOKENS) & F.forall("tokens", lambda t: t == VARIABLE)
+        own = F.when(bare, F.xxhash64(F.trim(F.translate("line", SPACES, " " * len(SPACES))))).otherwise(own)
+    flat = stored(lines.select("k1", "k2", "pos", F.size("tokens").alias("n"), leaf, own.alias("own")))
 
     # Leaves with several lines, and their templates.
     mixed = stored(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x != y").select("leaf"))
@@ -94,8 +99,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPAN
 
 def boilerplate(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k1, k2, drop) like ``recurring``; ``groups`` (k1, k2, group) has the documents with near copies, or all."""
-    named = stored(templates(docs))
-    at = named.filter(F.col("n") >= MIN_TOKENS).select("t", "k1", "k2").distinct()
+    named = stored(templates(docs, exact=True).drop("n"))
+    at = named.select("t", "k1", "k2").distinct()
     votes = at.join(groups.select("k1", "k2", "group").distinct(), ["k1", "k2"], "left").select("t", F.coalesce("group", F.xxhash64("k1", "k2")).alias("group")).distinct()
     boiler = votes.groupBy("t").agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_docs).select("t")
     return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))

@@ -59,3 +59,11 @@ def test_line_dedup_counts_copies_once(spark, folder):
     lines = [prose(6000 + j, 25) for j in range(12)]
     near = {200 + i: "\n".join([*lines[: i % 12], lines[i % 12] + f" edit{i}", *lines[i % 12 + 1 :]]) for i in range(30)}
     assert lines_left(spark, folder, body | near) == want | near
+
+
+def test_line_dedup_takes_short_lines(spark, folder):
+    body = {i: prose(3000 + i, 30) + "\n" + prose(4000 + i, 30) for i in range(15)}
+    texts = {i: f"Advertisement\n{b}\n\tRead more\r\nPage {i}\n{i}.5" for i, b in body.items()}
+    assert lines_left(spark, folder, texts) == {i: f"{b}\n{i}.5" for i, b in body.items()}
+    few = {i: texts[i] for i in range(9)}
+    assert lines_left(spark, folder, few) == few
