@@ -11,7 +11,7 @@ All training documents are counted: words, and pairs of outputs at distances one
 and two (two matrices of (HEAD + CLASSES + 1)**2 counts whatever the input).
 Noise-contrastive estimation fits R, Q1, Q2 and b to these counts in numpy, with the
 unigram distribution as noise and all noise terms in expectation.  The two weights x
-are chosen by exact likelihood over a sample of at most ``TUNE`` training tokens.
+are chosen by exact likelihood over all training tokens, which the counts determine.
 
 Counts of the most frequent words, at most ``KNOWN`` and cut where counts differ by a
 sixteenth of a power of two, travel with the tasks; the others' come from a join on
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from fathomgrid.llm import textkernel as tk
 from fathomgrid.llm.base import keyed, settled, stored
 
-HEAD, CLASSES, WIDTH, KNOWN, TUNE, NOISE, ROUNDS = 767, 256, 40, 200_000, 200_000, 20, 150
+HEAD, CLASSES, WIDTH, KNOWN, NOISE, ROUNDS = 767, 256, 40, 200_000, 20, 150
 SIZE = HEAD + CLASSES + 1  # output 0 is the end, then the head words, then the classes
 LN10 = float(np.log(10))
 
@@ -169,13 +169,22 @@ class Model:
         return self.a[v, w].astype(np.float64) + self.c[u, w] - self.z[u, v]
 
 
-def tuned(near: np.ndarray, far: np.ndarray, sample: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
-    """The weights of the two positions with the best likelihood over a sample of (u, v, w)."""
+def tuned(near: np.ndarray, far: np.ndarray, after: np.ndarray, second: np.ndarray) -> Model:
+    """The weights of the two positions with the best likelihood over all tokens.
+
+    ``after`` and ``second`` count the pairs at distances one and two.  The token after
+    a pair u, v has the two as its context, if v is not the end; the other contexts
+    are those of first tokens, two ends each.
+    """
     bias, far = far[-1], far[:-1]
+    contexts = after.copy()
+    contexts[:, 0] = 0
+    contexts[0, 0] = after[0].sum()
+    one, two, own = (after * near).sum(), (second * far).sum(), after.sum(axis=0) @ bias
     best: tuple[float, Model] | None = None
     for x1, x2 in ((1.0, 0.0), (0.9, 0.2), (0.8, 0.4), (0.7, 0.5), (0.6, 0.6), (0.5, 0.7), (0.9, 0.4), (0.8, 0.6)):
         model = Model.of(near, far, bias, x1, x2)
-        value = float(model.log_probability(*sample).mean()) if len(sample[0]) else -x2
+        value = float(x1 * one + x2 * two + own - (contexts * model.z).sum())
         if best is None or value > best[0]:
             best = (value, model)
     return best[1]
@@ -253,12 +262,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     for row, c in rows.toLocalIterator():  # 2 * SIZE rows
         table[row] = np.frombuffer(bytes(c), "<i8")
     near, far = trained(table[:SIZE], table[SIZE:])
-    wanted = max(1, TUNE // max(1, n // max(1, ends)))
-    share = min(1.0, wanted / max(1, ends))
-    some = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("text").limit(2 * wanted).toArrow()
-    w = tk.Words(some.column("text"), lower=True)
-    _, *sample = sequences(lexicon.outputs(w)[0], w) if len(some) else (0, *[np.zeros(0, np.int64)] * 3)
-    model = tuned(near, far, tuple(x[:TUNE] for x in sample))
+    model = tuned(near, far, table[:SIZE], table[SIZE:])
 
     parts = stored(keyed(docs).mapInArrow(scorer(lexicon, model, within), "k1 long, k2 int, doc_id long, n_tokens long, seen long, words double, lm double, rest array<struct<h:long,tf:int>>"))
     rest = parts.select("k1", "k2", F.explode("rest").alias("r")).select("k1", "k2", "r.h", "r.tf").distinct()

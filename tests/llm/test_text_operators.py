@@ -87,6 +87,43 @@ def test_probabilities_add_up(spark):
         assert abs(np.exp(model.log_probability(np.full(30, u), np.full(30, v), w)).sum() - 1) < 1e-4
 
 
+def test_weights_have_the_best_likelihood_over_all_tokens():
+    rng = np.random.Generator(np.random.PCG64(3))
+    size, chosen = 12, set()
+    pairs = ((1.0, 0.0), (0.9, 0.2), (0.8, 0.4), (0.7, 0.5), (0.6, 0.6), (0.5, 0.7), (0.9, 0.4), (0.8, 0.6))
+    for x1, x2 in pairs:
+        near, far = rng.normal(0, 1.5, (size, size)), rng.normal(0, 1.5, (size + 1, size))
+        after, second, tokens = np.zeros((size, size)), np.zeros((size, size)), []
+        for n in range(60):
+            u = v = 0
+            for left in range(n % 9, -1, -1):
+                score = np.exp(x1 * near[v] + x2 * far[u] + far[-1])[1:]
+                w = int(rng.choice(size - 1, p=score / score.sum())) + 1 if left else 0
+                tokens.append((u, v, w))
+                after[v, w] += 1
+                second[u, w] += 1
+                u, v = v, w
+        got = loglinear.tuned(near, far, after, second)
+        models = [loglinear.Model.of(near, far[:-1], far[-1], *x) for x in pairs]
+        best = max(range(len(pairs)), key=lambda i: models[i].log_probability(*np.array(tokens).T).sum())
+        chosen.add(best)
+        assert (got.a == models[best].a).all() and (got.c == models[best].c).all()
+    assert len(chosen) > 1
+
+
+def test_long_training_documents_choose_the_weights_too(spark):
+    rng = np.random.Generator(np.random.PCG64(9))
+
+    def text(n):  # a word follows from the one before the last, if at all
+        w = [f"a{i // 2 % 7}" if i % 2 == 0 else f"b{rng.integers(0, 20)}" for i in range(n)]
+        return " ".join(w)
+
+    ids = [r.id for r in spark.range(100).filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) > 600_000).limit(2).collect()]
+    docs = spark.createDataFrame([(i, text(210_000)) for i in ids], "doc_id long, text string")
+    for r in loglinear.scored(docs, docs).collect():
+        assert r.score / r.n_tokens > (math.log10(1 / 20) + math.log10(1 / 2)) / 2
+
+
 def test_scoring_odd_tables(nasty, empty):
     got = loglinear.scored(nasty, nasty).collect()
     assert len(got) == nasty.count() and all(r.score <= 0 and r.n_known == r.n_tokens for r in got)
