@@ -11,8 +11,10 @@ that have it,
   in a page.
 
 A node's importance mixes both (``MIX``), and blocks of nodes, or with texts, of low
-importance are removed.  Pages are different if their longest blocks are, so that
-copies of one article don't make it look like boilerplate.  With fewer than
+importance are removed.  Pages are different if the longest blocks of their own are, so
+that copies of one article don't make it look like boilerplate.  A block outside noise
+is a page's own if, but for digits, it is in fewer than ``LEAST`` of the host's sets of
+such blocks; where a page has none, its longest block counts.  With fewer than
 ``LEAST`` pages entropies say nothing, and what a browser user knows decides: elements
 and class names of menus, headers, footers, sidebars, notices, adverts, forms and
 comments are noise, ``article`` and ``main`` hold the text if there are any, and
@@ -182,16 +184,31 @@ def each_page(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def styled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: pages to one row for each block, without its text."""
-    names = ["host", "print", "style", "h", "use"]
+    """mapInArrow: pages to one row for each block, without its text.
+
+    ``page`` is a hash of the set of blocks outside noise, ``letters`` one of the text
+    but for digits, ``size`` the text's length, 0 in noise.
+    """
+    names = ["host", "page", "style", "h", "letters", "size", "use"]
     for _, hosts, pages in each_page(batches):
         rows = []
         for host, page in zip(hosts, pages, strict=True):
-            longest = max((b for b in page if not b[3]), key=lambda b: len(b[2]), default=None)
-            rows += [(host, longest[1] if longest else 0, b[0], b[1], b[5]) for b in page]
+            own = sorted({b[1] for b in page if not b[3]})
+            key = xxhash.xxh3_64_intdigest(",".join(map(str, own))) >> 1
+            rows += [(host, key, b[0], b[1], xxhash.xxh3_64_intdigest(re.sub(r"\d+", "#", b[2])) >> 1, 0 if b[3] else len(b[2]), b[5]) for b in page]
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.bool_())], names=names)
+
+
+def printed(each: DataFrame) -> DataFrame:
+    """(host, print, style, h, n, use): blocks with what identifies their page, and how often they occur; copies are one row."""
+    own = stored(each.filter("size > 0").groupBy("host", "page", "letters").agg(F.max(F.struct("size", "h")).alias("b")))
+    rare = own.groupBy("host", "letters").agg(F.count("*").alias("pages")).filter(F.col("pages") < LEAST).select("host", "letters", F.lit(1).alias("rare"))
+    first = F.max(F.struct(F.coalesce("rare", F.lit(0)).alias("rare"), "b.size", "b.h"))
+    prints = own.join(rare, ["host", "letters"], "left").groupBy("host", "page").agg(first.alias("b")).select("host", "page", F.col("b.h").alias("print"))
+    once = each.groupBy("host", "page", "style", "h").agg(F.count("*").alias("n"), F.bool_or("use").alias("use"))
+    return once.join(settled(prints), ["host", "page"], "left").select("host", F.coalesce("print", F.lit(0)).alias("print"), "style", "h", "n", "use")
 
 
 def kept_text(low: dict[tuple[int, int, int], bool]):  # noqa: ANN201
@@ -211,7 +228,7 @@ def kept_text(low: dict[tuple[int, int, int], bool]):  # noqa: ANN201
 def importance(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, style, h, k, content, use) of texts, and (host, style, m, importance) of the nodes of the tree."""
     texts = each.groupBy("host", "style", "h", "print").agg(F.bool_or("use").alias("use")).groupBy("host", "style", "h").agg(F.count("*").alias("k"), F.bool_or("use").alias("use"))
-    times = each.groupBy("host", "style", "print").agg(F.count("*").alias("times"))
+    times = each.groupBy("host", "style", "print").agg(F.sum("n").alias("times"))
     variants = times.groupBy("host", "style", "times").agg(F.count("*").alias("c"))
     shape = variants.groupBy("host", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     shape = settled(shape.withColumn("presentation", F.when(F.col("m") > 1, (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")).otherwise(1.0)))
@@ -230,7 +247,8 @@ def main_text(pages: DataFrame, most: int = 200_000) -> DataFrame:
     about ``most`` rows; with several parts each is written before the next is made.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    texts, nodes = importance(stored(pages.select("url", "html").mapInArrow(styled, "host long, print long, style long, h long, use boolean")))
+    each = stored(pages.select("url", "html").mapInArrow(styled, "host long, page long, style long, h long, letters long, size long, use boolean"))
+    texts, nodes = importance(stored(printed(each)))
     both = texts.filter("use").select("host", "style", "h", "content").join(nodes.filter(F.col("m") >= LEAST), ["host", "style"])
     low = stored(both.filter((F.col("importance") < LOW_NODE) | (F.col("content") < LOW_TEXT)).select("host", "style", "h", (F.col("importance") < LOW_NODE_INSIDE).alias("sure")))
     parts = max(1, -(-low.count() // most))

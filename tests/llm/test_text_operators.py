@@ -51,6 +51,18 @@ def test_copies_of_an_article_are_not_boilerplate(spark):
     assert {r.text for r in styletree.main_text(pages_of(spark, rows)).collect()} == {prose(1, 50)}
 
 
+def test_site_style_tree_removes_paragraphs_longer_than_the_text(spark):
+    legal = prose(900, 120)
+    rows = [(i, f"https://h/{i}", f"<body><div class='body'><p>{prose(i, 30)}</p></div><div class='end'><p>{legal}</p></div></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows)).collect()}
+    assert got == {i: prose(i, 30) for i in range(30)}
+
+
+def test_copies_of_an_article_with_other_dates_are_not_boilerplate(spark):
+    rows = [(i, f"https://h/{i}", f"<article><p>{prose(1, 50)}</p><p>Read {i} times</p></article>") for i in range(40)]
+    assert all(r.text.startswith(prose(1, 50)) for r in styletree.main_text(pages_of(spark, rows)).collect())
+
+
 def test_base_score_and_gain(spark):
     rng = np.random.Generator(np.random.PCG64(1))
     follow = {w: rng.choice(list("abcdefghij"), 2) for w in "abcdefghij"}
