@@ -29,52 +29,76 @@ def has_subsequence(haystack: Column, needle: str) -> Column:
     return ascii_lower(haystack).rlike("(?s)" + ".*?".join(re.escape(c) for c in low))
 
 
-def span(low: bytes, needle: bytes) -> tuple[int, int] | None:
-    """The tight span: leftmost end of a greedy match, then the rightmost start for that end."""
-    at = -1
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of bytes, a row for each text, zeros behind its end; and the lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), int(size.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    return out, size
+
+
+def spans(low: np.ndarray, needle: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, start, end) of each row: where its earliest match ends, and the latest start for that end."""
+    rows, width = low.shape
+    at = np.arange(width)
+    found, end = np.ones(rows, bool), np.zeros(rows, np.int64)
     for c in needle:
-        at = low.find(c, at + 1)
-        if at < 0:
-            return None
-    end = start = at + 1
+        ahead = (low == c) & (at >= end[:, None])
+        found &= ahead.any(axis=1)
+        end = ahead.argmax(axis=1) + 1 if width else end
+    start = end.copy()
     for c in reversed(needle):
-        start = low.rfind(c, 0, start)
-    return start, end
+        behind = (low == c) & (at < start[:, None])
+        start = width - 1 - behind[:, ::-1].argmax(axis=1) if width else start
+    return found, np.where(found, start, 0), np.where(found, end, 0)
+
+
+def scores(paths: list[str], needle: str, full: bool) -> np.ndarray:
+    """Alignment scores of the needle with paths (``full``) or their file names; LOWEST where it is no subsequence.
+
+    With B the bonus of a position, S(i, h) scores the first i characters of the needle
+    within the first h positions of the span:  S(i, h) = max(hit, skip),  hit = S(i-1, h-1) + B(h)
+    and more if i-1 was hit at h-1,  skip = S(i, h-1) less the price of a gap that starts or goes on.
+    A column h needs only the column before it, so all i and all paths are done at once.
+    """
+    wanted = np.frombuffer(needle.encode().lower(), np.uint8)
+    whole = [p.encode() for p in paths]
+    names = [p.rfind(b"/") + 1 for p in whole]
+    raw, size = padded(whole if full else [p[n:] for p, n in zip(whole, names, strict=True)])
+    if not len(paths) or not len(wanted):
+        return np.full(len(paths), LOWEST)
+    upper = (raw >= 65) & (raw <= 90)
+    low = raw + upper * np.uint8(32)
+    found, start, end = spans(low, wanted.tobytes())
+    before = np.pad(raw, ((0, 0), (1, 0)))[:, :-1]
+    edge = np.isin(before, np.frombuffer(SEPARATORS, np.uint8))
+    edge[:, :1] = True
+    camel = ~edge & upper & (before >= 97) & (before <= 122)
+    in_name = np.arange(raw.shape[1]) >= (np.array(names)[:, None] if full else 0)
+    bonus = MATCH + BOUNDARY * edge + CAMEL * camel + FILENAME * in_name
+
+    best = np.full(len(paths), LOWEST)
+    state = np.full((len(paths), len(wanted) + 1), LOWEST)
+    state[:, 0] = 0
+    met = np.zeros(state.shape, bool)  # the last position was a hit
+    gap = np.zeros((len(paths), len(wanted)), bool)
+    row = np.arange(len(paths))
+    for h in range(int((end - start).max(initial=0))):
+        at = np.minimum(start + h, raw.shape[1] - 1)
+        same = (low[row, at][:, None] == wanted) & (start + h < end)[:, None]
+        hit = np.where(same, state[:, :-1] + bonus[row, at][:, None] + CONSECUTIVE * met[:, :-1], LOWEST)
+        skip = state[:, 1:] + np.where(gap, GAP_EXTENSION, GAP_START)
+        gap = hit < skip
+        state[:, 1:] = np.maximum(hit, skip)
+        met[:, 1:] = same & ~gap & (hit > LOWEST // 2)
+        best = np.maximum(best, state[:, -1])
+    return np.where(found, best - size // 16, LOWEST)
 
 
 def score(path: str, needle: str, full: bool) -> int | None:
-    """Best alignment score of needle in a path (``full``) or its file name; None if it is no subsequence."""
-    raw_path = path.encode()
-    name_at = raw_path.rfind(b"/") + 1
-    raw = raw_path if full else raw_path[name_at:]
-    name_at = name_at if full else 0
-    low, wanted = raw.lower(), needle.encode().lower()
-    if not wanted or (found := span(low, wanted)) is None:
-        return None
-    start, end = found
-    n = end - start
-    idx = np.arange(start, end)
-    bonus = np.full(n, MATCH)
-    for k, i in enumerate(idx.tolist()):
-        before = raw[i - 1 : i]
-        if i == 0 or before in SEPARATORS and before:
-            bonus[k] += BOUNDARY
-        elif raw[i : i + 1].isupper() and before.islower():
-            bonus[k] += CAMEL
-        if i >= name_at:
-            bonus[k] += FILENAME
-    total, run = [0] * (n + 1), [LOWEST] * (n + 1)
-    for q in wanted:
-        cur, tail, gap = [LOWEST] * (n + 1), [LOWEST] * (n + 1), False
-        for h in range(n):
-            skip = cur[h] + (GAP_EXTENSION if gap else GAP_START)
-            hit = LOWEST
-            if low[start + h] == q:
-                hit = max(total[h], run[h]) + int(bonus[h]) + (CONSECUTIVE if run[h] > LOWEST // 2 else 0)
-            gap = hit < skip
-            cur[h + 1], tail[h + 1] = max(hit, skip), LOWEST if gap else hit
-        total, run = cur, tail
-    return max(total[1:]) - len(raw) // 16
+    """The score of one path; None if the needle is no subsequence."""
+    value = int(scores([path], needle, full)[0])
+    return value if value > LOWEST // 2 else None
 
 
 def ranked(paths: DataFrame, query: str, k: int, path: str = "path") -> DataFrame:
@@ -86,7 +110,7 @@ def ranked(paths: DataFrame, query: str, k: int, path: str = "path") -> DataFram
     few = paths.select(F.col(path).alias("path")).filter(has_subsequence(where, query))
 
     @F.pandas_udf("int")
-    def scores(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: score(p, query, full))
+    def scored(s: pd.Series) -> pd.Series:
+        return pd.Series(scores(s.tolist(), query, full), dtype="int32")
 
-    return few.withColumn("score", scores("path")).orderBy(F.desc("score"), "path").limit(k)
+    return few.withColumn("score", scored("path")).orderBy(F.desc("score"), "path").limit(k)

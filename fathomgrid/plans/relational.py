@@ -101,7 +101,24 @@ def fuzzy_candidates_fullpath(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("path").filter(fuzzy.has_subsequence(F.col("path"), "th/en"))
 
 
-@register("fuzzy_topk")
+def _fuzzy_sql(needle: str, k: int) -> str:
+    """The alignment score as a walk over the columns of each path's span, all characters of the needle in lists."""
+    lazy = "".join(".*?" + c for c in needle)
+    back = ".*?".join(reversed(needle))
+    each = f"range(1, {len(needle) + 1})"
+    return f"""WITH RECURSIVE {PATHS}, low AS (SELECT page_id, path, lower(path) AS low, regexp_extract(lower(path), '^{lazy}') AS head FROM paths WHERE regexp_matches(lower(path), '{lazy}')),
+cand AS (SELECT page_id, path, low, length(head) AS stop, length(head) - length(regexp_extract(reverse(head), '^{back}')) AS begin, length(path) - length(split_part(path, '/', -1)) AS name_at FROM low),
+w(page_id, path, low, stop, h, name_at, s, gap, met, best) AS (
+  SELECT page_id, path, low, stop, begin + 1, name_at, list_transform({each}, lambda i: -1000000), list_transform({each}, lambda i: false), list_transform({each}, lambda i: false), -1000000 FROM cand
+  UNION ALL SELECT page_id, path, low, stop, h + 1, name_at, list_transform({each}, lambda i: greatest(hit[i], skip[i])), list_transform({each}, lambda i: hit[i] < skip[i]),
+    list_transform({each}, lambda i: hit[i] >= skip[i] AND hit[i] > -500000), greatest(best, hit[{len(needle)}], skip[{len(needle)}])
+  FROM (SELECT *, list_transform({each}, lambda i: s[i] - CASE WHEN gap[i] THEN 1 ELSE 3 END) AS skip,
+    list_transform({each}, lambda i: CASE WHEN low[h] <> '{needle}'[i] THEN -1000000 ELSE CASE WHEN i = 1 THEN 0 ELSE s[i - 1] END + CASE WHEN i > 1 AND met[i - 1] THEN 8 ELSE 0 END + bonus END) AS hit
+    FROM (SELECT *, 16 + CASE WHEN h = 1 OR contains('/_-. ' || chr(92), path[h - 1]) THEN 8 WHEN path[h] BETWEEN 'A' AND 'Z' AND path[h - 1] BETWEEN 'a' AND 'z' THEN 7 ELSE 0 END + CASE WHEN h > name_at THEN 4 ELSE 0 END AS bonus FROM w WHERE h <= stop)))
+SELECT path, CAST(max(best) - length(path) // 16 AS INTEGER) AS score FROM w GROUP BY page_id, path ORDER BY score DESC, path LIMIT {k}"""
+
+
+@register("fuzzy_topk", _fuzzy_sql("th/en1", 20))
 def fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.ranked(files(spark, d), "th/en1", 20)
 
