@@ -7,22 +7,21 @@ than half of the lines becomes variable too; if at least ``CONSTANT`` of the
 positions stay constant, the lines that agree in these share the leaf's template,
 and all other lines are templates of their own.
 
-A template recurs if it stands in ``min_docs`` documents or more and has no fixed
-company: on one side at least, no neighbouring template follows it in ``company``
-of its places.  Text around a boilerplate line changes from document to document;
-lines of copied documents keep their neighbours and are left to the near-duplicate
-stage.  All lines of recurring templates are dropped.
-
-That is ``recurring``, the rule that the SQL at the end states.  ``boilerplate`` knows
-which documents are near copies of each other and needs no neighbours: a template
-recurs if it stands in documents of ``min_docs`` groups of near copies or more, a
-document without copies being a group of its own.  So all lines of a footer go, and
-any number of copies counts once.  Lines of fewer than ``MIN_TOKENS`` tokens count there
-as well, each as a template of its own, by their exact text if they are fields only.
-``recurring`` passes over them, as its SQL does.
-
-Null texts have no lines.  Lines without words stay.  Equal rows count as one
-document and get equal results.
+A template is common if it stands in ``min_docs`` distinct texts or more.  A text of
+which common lines hold ``copy`` of the tokens or more looks like a copy of others and
+has no vote: so the lines of a document with many near copies are left to the
+near-duplicate stage.  Templates with the votes of ``min_docs`` texts recur, and all
+their lines are dropped, in copies as well: headers and footers of any number of lines,
+lines of one or two tokens too.  Short lines of fields only go by their exact text.
+Nothing recurs in fewer than ``min_docs`` documents.
+
+That is ``recurring``, the rule that the SQL at the end states.  ``boilerplate`` is told
+which documents are near copies of each other: there every group of near copies has one
+vote, a document without copies being a group of its own.
+
+Null texts have no lines.  Lines without words stay.  Equal texts count as one document
+and get equal results.  No text is collected; joins on a template are salted by the
+document (``SALTS``), as one line may hold a third of all rows.
 """
 
 from __future__ import annotations
@@ -30,13 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.base import keyed, settled, stored
+from fathomgrid.llm.base import settled, stored
 
 SPACES = "\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
 FIELD = "[^ ]*[0-9][^ ]*"
 VARIABLE = "<*>"
-DEPTH, CONSTANT, MIN_TOKENS, MIN_DOCS, COMPANY = 3, 0.6, 3, 10, 0.1
+DEPTH, CONSTANT, MIN_TOKENS, MIN_DOCS, COPY, SALTS = 3, 0.6, 3, 10, 0.8, 32
 
 
 def tokens(line: Column) -> Column:
@@ -46,27 +45,28 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, " "), "")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(k1, k2, pos, line) of the lines that hold a word."""
-    return docs.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
+def salted(rows: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` joined with ``few``, a row for each value of ``on`` at most; rows of one value are dealt by ``x`` to SALTS tasks."""
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("x", F.lit(SALTS)).cast("int")).join(copies, [on, "salt"], how).drop("salt")
 
 
-def templates(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """(k1, k2, pos, n, t): token count and template of each line; ``exact``: short lines of fields only go by their text."""
-    lines = lines_of(docs).withColumn("tokens", tokens(F.col("line")))
+def templates(docs: DataFrame) -> DataFrame:
+    """(x, pos, n, t): token count and template of each line with words of texts (x, text); texts with one x are equal."""
+    lines = docs.select("x", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
+    lines = lines.withColumn("tokens", tokens(F.col("line")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")
-    own = F.xxhash64("tokens")
-    if exact:
-        bare = (F.size("tokens") < MIN_TOKENS) & F.forall("tokens", lambda t: t == VARIABLE)
-        own = F.when(bare, F.xxhash64(F.trim(F.translate("line", SPACES, " " * len(SPACES))))).otherwise(own)
-    flat = stored(lines.select("k1", "k2", "pos", F.size("tokens").alias("n"), leaf, own.alias("own")))
+    bare = (F.size("tokens") < MIN_TOKENS) & F.forall("tokens", lambda t: t == VARIABLE)
+    own = F.when(bare, F.xxhash64(F.trim(F.translate("line", SPACES, " " * len(SPACES))))).otherwise(F.xxhash64("tokens"))
+    flat = stored(lines.select("x", "pos", F.size("tokens").alias("n"), leaf, own.alias("own")))
 
     # Leaves with several lines, and their templates.
-    mixed = stored(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x != y").select("leaf"))
-    kinds = flat.join(mixed, "leaf", "left_semi").groupBy("leaf", "own").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
-    wanted = kinds.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "leaf", "own", "c")).alias("w"))
-    kinds = docs.join(wanted, ["k1", "k2"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
-    kinds = stored(kinds.select("w.leaf", "w.own", "w.c", tokens(F.element_at("l", F.col("w.pos") + 1)).alias("tokens")))
+    counts = stored(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf", "own").agg(F.count("*").alias("c"), F.min(F.struct("x", "pos")).alias("at")))
+    mixed = settled(counts.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf"))
+    wanted = counts.join(mixed, "leaf", "left_semi").groupBy("at.x").agg(F.collect_list(F.struct("at.pos", "leaf", "own", "c")).alias("w"))
+    kinds = docs.join(wanted, "x").select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
+    kinds = kinds.select("w.leaf", "w.own", "w.c", tokens(F.element_at("l", F.col("w.pos") + 1)).alias("tokens"))
+    kinds = stored(kinds.dropDuplicates(["leaf", "own"]))  # copies of a text have the line as well
     votes = kinds.select("leaf", "c", F.posexplode("tokens").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("c").alias("c"))
     best = votes.groupBy("leaf", "p").agg(F.max(F.struct("c", "t")).alias("m"), F.sum("c").alias("all"))
     part = best.select("leaf", F.struct("p", F.when(F.col("m.c") * 2 >= F.col("all"), F.col("m.t")).otherwise(VARIABLE).alias("t")).alias("pt"))
@@ -75,35 +75,33 @@ def templates(docs: DataFrame, exact: bool = False) -> DataFrame:
     whole = settled(whole.filter(constant >= F.size("template") * CONSTANT))
     agree = F.forall(F.zip_with("template", "tokens", lambda a, b: (a == VARIABLE) | (a == b)), lambda x: x)
     general = settled(kinds.join(whole, "leaf").filter(agree).select("own", F.xxhash64(F.lit("template"), "template").alias("general")))
+    return stored(salted(flat.drop("leaf"), general, "own", "left").select("x", "pos", "n", F.coalesce("general", "own").alias("t")).distinct())
 
-    return flat.join(general, "own", "left").select("k1", "k2", "pos", "n", F.coalesce("general", "own").alias("t"))
 
+def voted(at: DataFrame, votes: DataFrame, min_docs: int) -> DataFrame:
+    """(x, drop): positions in ``at`` (x, pos, t) of the templates that have ``min_docs`` of the votes (t, a distinct voter)."""
+    boiler = votes.groupBy("t").agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_docs).select("t")
+    return salted(at, settled(boiler), "t", "left_semi").groupBy("x").agg(F.collect_set("pos").alias("drop"))
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPANY) -> DataFrame:
-    """(k1, k2, drop): positions of the lines to drop, for documents that have some."""
-    named = templates(docs)
-    w = Window.partitionBy("k1", "k2").orderBy("pos")
-    named = stored(named.select("*", F.lag("t").over(w).alias("before"), F.lead("t").over(w).alias("after")))
-    spread = named.filter(F.col("n") >= MIN_TOKENS).select("t", "k1", "k2").distinct().groupBy("t").agg(F.count("*").alias("docs"))
-    common = settled(spread.filter(F.col("docs") >= min_docs).select("t"))
-    at = named.join(common, "t")
-
-    def fixed(side: str) -> DataFrame:
-        """Share of the commonest neighbour on one side; a document's edge is a neighbour as well."""
-        pairs = at.groupBy("t", side).agg(F.count("*").alias("c"))
-        return pairs.groupBy("t").agg((F.max("c") / F.sum("c")).alias(side))
 
-    boiler = fixed("before").join(fixed("after"), "t").filter(F.least("before", "after") < company).select("t")
-    return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, copy: float = COPY) -> DataFrame:
+    """(x, drop) of the texts (x, text) that have lines to drop: the positions of these."""
+    named = templates(docs)
+    common = named.select("t", "x").distinct().groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= min_docs).select("t", F.lit(1).alias("common"))
+    marked = salted(named, settled(common), "t", "left")
+    share = F.sum(F.when(F.col("common") == 1, F.col("n")).otherwise(0)) / F.sum("n")
+    mine = F.collect_list(F.when(F.col("common") == 1, F.struct("pos", "t")))
+    each = stored(marked.groupBy("x").agg(share.alias("share"), mine.alias("mine")).filter("share > 0"))
+    votes = each.filter(F.col("share") < copy).select("x", F.explode(F.array_distinct("mine.t")).alias("t"))
+    return voted(each.select("x", F.explode("mine").alias("m")).select("x", "m.pos", "m.t"), votes, min_docs)
 
 
 def boilerplate(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k1, k2, drop) like ``recurring``; ``groups`` (k1, k2, group) has the documents with near copies, or all."""
-    named = stored(templates(docs, exact=True).drop("n"))
-    at = named.select("t", "k1", "k2").distinct()
-    votes = at.join(groups.select("k1", "k2", "group").distinct(), ["k1", "k2"], "left").select("t", F.coalesce("group", F.xxhash64("k1", "k2")).alias("group")).distinct()
-    boiler = votes.groupBy("t").agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_docs).select("t")
-    return named.join(settled(boiler), "t", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+    """(x, drop) like ``recurring``; ``groups`` (x, group) has the texts with near copies, or all."""
+    named = templates(docs)
+    at = named.select("t", "x").distinct()
+    votes = at.join(groups.select("x", "group").distinct(), "x", "left").select("t", F.coalesce("group", "x").alias("group")).distinct()
+    return voted(named, votes, min_docs)
 
 
 def left(text: Column, drop: Column) -> Column:
@@ -112,10 +110,10 @@ def left(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, company: float = COMPANY) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy: float = COPY) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of every row of ``docs``; the text of null stays null."""
-    docs = keyed(docs)
-    joined = docs.join(recurring(docs, min_docs, company), ["k1", "k2"], "left")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("x"))
+    joined = docs.join(recurring(docs.filter("text is not null").select("x", "text"), min_docs, copy), "x", "left")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     gone = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
     return joined.select("doc_id", count.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), left(F.col("text"), F.col("drop")).alias("kept_text"))
@@ -123,11 +121,11 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, company:
 
 #: The same rows in DuckDB.
 SQL = r"""
-WITH docs AS (SELECT doc_id, text FROM documents),
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs),
-lines AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS tokens
+WITH raw AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+lines AS (SELECT text, pos, trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')) AS plain, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS tokens
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-flat AS (SELECT doc_id, pos, len(tokens) AS n, struct_pack(n := len(tokens), l := tokens[1:3]) AS leaf, tokens FROM lines),
+flat AS (SELECT text, pos, len(tokens) AS n, struct_pack(n := len(tokens), l := tokens[1:3]) AS leaf, tokens,
+  CASE WHEN len(tokens) < 3 AND len(list_filter(tokens, lambda t: t <> '<*>')) = 0 THEN 'b' || plain ELSE 'o' || array_to_string(tokens, ' ') END AS own FROM lines),
 mixed AS (SELECT leaf FROM flat WHERE n >= 3 GROUP BY leaf HAVING count(DISTINCT tokens) > 1),
 kinds AS (SELECT leaf, tokens, count(*) AS c FROM flat SEMI JOIN mixed USING (leaf) GROUP BY ALL),
 votes AS (SELECT leaf, p, t, sum(c) AS c FROM (SELECT leaf, c, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM kinds) GROUP BY ALL),
@@ -136,17 +134,14 @@ whole AS (SELECT leaf, list(CASE WHEN m.c * 2 >= total THEN m.t ELSE '<*>' END O
 good AS (SELECT * FROM whole WHERE len(list_filter(template, lambda t: t <> '<*>')) >= len(template) * 0.6),
 general AS (SELECT kinds.tokens, template FROM kinds JOIN good USING (leaf)
   WHERE len(list_filter(list_zip(template, kinds.tokens), lambda z: z[1] <> '<*>' AND z[1] <> z[2])) = 0),
-named AS (SELECT doc_id, pos, n, CASE WHEN g.template IS NULL THEN 'o' || array_to_string(f.tokens, ' ') ELSE 'g' || array_to_string(g.template, ' ') END AS t
+named AS (SELECT DISTINCT text, pos, n, CASE WHEN g.template IS NULL THEN own ELSE 'g' || array_to_string(g.template, ' ') END AS t
   FROM flat f LEFT JOIN general g ON f.tokens = g.tokens),
-sided AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-common AS (SELECT t FROM sided WHERE n >= 3 GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
-at_ AS (SELECT * FROM sided SEMI JOIN common USING (t)),
-b AS (SELECT t, max(c) / sum(c) AS share FROM (SELECT t, before, count(*) AS c FROM at_ GROUP BY ALL) GROUP BY t),
-a AS (SELECT t, max(c) / sum(c) AS share FROM (SELECT t, after, count(*) AS c FROM at_ GROUP BY ALL) GROUP BY t),
-boiler AS (SELECT t FROM b JOIN a USING (t) WHERE least(b.share, a.share) < 0.1),
-gone AS (SELECT doc_id, list(pos) AS gone FROM sided SEMI JOIN boiler USING (t) GROUP BY doc_id)
-SELECT docs.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
+common AS (SELECT t FROM named GROUP BY t HAVING count(DISTINCT text) >= 10),
+voters AS (SELECT text FROM named LEFT JOIN (SELECT t, 1 AS c FROM common) USING (t) GROUP BY text HAVING sum(CASE WHEN c = 1 THEN n ELSE 0 END) / sum(n) < 0.8),
+boiler AS (SELECT t FROM named SEMI JOIN common USING (t) SEMI JOIN voters USING (text) GROUP BY t HAVING count(DISTINCT text) >= 10),
+gone AS (SELECT text, list(pos) AS gone FROM named SEMI JOIN boiler USING (t) GROUP BY text)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
   CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
-  sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_sha256
-FROM docs LEFT JOIN gone USING (doc_id)
+  sha256(CASE WHEN gone IS NULL THEN coalesce(d.text, '') ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_sha256
+FROM documents d LEFT JOIN gone ON gone.text = d.text
 """

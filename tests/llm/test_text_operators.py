@@ -167,11 +167,29 @@ def test_recurring_lines(spark):
     got = {r.doc_id: (r.n_dropped, r.kept_text) for r in linetree.without_recurring_lines(df).collect()}
     assert all(got[i][0] == 2 and "Posted" not in got[i][1] and "rights" not in got[i][1] for i in range(30))
     assert all(got[i][0] == 0 for i in range(40, 60)) and got[90] == (0, None)
+    assert lines_result(df.union(df)) == Counter(tuple(r) for r in oracle(df.union(df), linetree.SQL))
+    assert lines_result(df) == Counter(tuple(r) for r in oracle(df, linetree.SQL))
+
+
+def test_all_lines_of_headers_and_footers_recur(spark):
+    head, foot = "Welcome to our site\nNews from the whole region\nMenu", "All rights reserved by us\nWritten by people like you\nSend us your own letters"
+    body = {i: prose(3000 + i, 20) + "\n\n" + prose(4000 + i, 20) for i in range(40)}
+    family = [prose(6000 + j, 12) for j in range(10)]
+    near = {200 + i: "\n".join([*family[: i % 10], family[i % 10] + f" edit{i}", *family[i % 10 + 1 :]]) for i in range(60)}  # near copies keep theirs
+    few = {300 + i: f"{prose(7000 + i, 25)}\nIn nine documents only" for i in range(9)}
+    texts = {i: f"{head}\n{b}\nPage {i}\n{foot}" for i, b in body.items()} | {100 + i: f"{head}\n{body[0]}\nPage 0\n{foot}" for i in range(30)} | near | few
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in linetree.without_recurring_lines(df).collect()}
+    assert got == body | dict.fromkeys(range(100, 130), body[0]) | near | few
     assert lines_result(df) == Counter(tuple(r) for r in oracle(df, linetree.SQL))
 
 
 def test_lines_of_odd_tables(nasty, empty):
-    assert linetree.without_recurring_lines(nasty).count() == nasty.count()
+    twenty = nasty.select("doc_id", "text")
+    for i in range(19):  # every line recurs in texts that differ
+        twenty = twenty.union(nasty.select("doc_id", F.concat("text", F.lit(f"\n{prose(i, 5)}"))))
+    for df in (nasty.select("doc_id", "text"), twenty):
+        assert lines_result(df) == Counter(tuple(r) for r in oracle(df, linetree.SQL))
     assert linetree.without_recurring_lines(empty).count() == 0
 
 
