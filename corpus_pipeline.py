@@ -35,9 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of templates that recur across documents other than near copies."""
     rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
-    copies = stored(_groups(rows).filter(F.col("group") != F.xxhash64("k1", "k2")))
-    drop = linetree.boilerplate(rows.select("k1", "k2", "text"), copies)
-    out = rows.join(drop, ["k1", "k2"], "left").withColumn("text", linetree.left(F.col("text"), F.col("drop")))
+    x = F.xxhash64("k1", "k2").alias("x")
+    copies = stored(_groups(rows).filter(F.col("group") != x).select(x, "group"))
+    drop = linetree.boilerplate(rows.filter("text is not null").select(x, "text"), copies)
+    out = rows.withColumn("x", x).join(drop, "x", "left").withColumn("text", linetree.left(F.col("text"), F.col("drop")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
