@@ -1,6 +1,7 @@
 """Repeated phrases by sharded Aho-Corasick automata.
 
-Candidate segments come from ``repeats``.  In a shard the words become characters of
+Candidate segments come from ``repeats``, the first and another copy of a content that
+recurs.  In a shard the words become characters of
 a private alphabet, so that a phrase of 20 words is a string of 20 characters; the
 phrases that recur in the shard are confirmed and compiled into an automaton, and
 all segments of the shard are streamed through it to locate every occurrence.  The
@@ -37,7 +38,7 @@ def alphabet(hashes: np.ndarray) -> str:
 def automaton(window: int):  # noqa: ANN201
     """An engine for ``repeats.sharded``."""
 
-    def run(rows: list[dict]) -> Iterator[tuple[int, list[int]]]:
+    def run(rows: list[dict]) -> Iterator[tuple[int, int, list[int]]]:
         w = tk.Words(pa.array([r["content"] for r in rows], pa.binary()).cast(pa.string()))
         text, first = alphabet(w.hash), w.first.tolist()
         n = len(w.hash) - window + 1
@@ -62,7 +63,7 @@ def automaton(window: int):  # noqa: ANN201
                 else:
                     seen.add(phrase)
             if later.any():
-                yield rows[i]["s"], bounds(later)
+                yield rows[i]["s"], rows[i]["copy"], bounds(later)
 
     return run
 
@@ -88,6 +89,6 @@ def digests(window: int):  # noqa: ANN201
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each word covered by a window that starts earlier too is removed."""
     docs = keyed(docs)
-    spans = repeated_windows(docs, Unit(True, window, gram), automaton(window), keep_first=True, **limits)
+    spans = repeated_windows(docs, Unit(True, window, gram), automaton(window), **limits)
     joined = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(digests(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -6,18 +6,20 @@ index that decides within a shard.
 1.  Every window takes as its anchor the least hash of the short grams in it.  Equal
     windows have equal anchors, wherever they stand.  A maximal run of windows of
     one document with one anchor is a segment: (anchor, place, hash of its content).
+    A segment has at most as many windows as a window has grams: of longer runs, as in
+    periodic text, the pieces are segments.
 2.  Anchors seen once are dropped; their windows cannot recur, unless the anchor's
     gram itself recurs in the segment, which the segment's ``own`` tells.
-3.  Segments of equal content are one, with a count and a first place.  An anchor
-    with a single content needs no further look, again unless ``own``.
-4.  The texts of the other segments are cut out and dealt by anchor into shards of
-    bounded size, each under an index of its own, which finds the windows that
-    different segments share.
-5.  Verdicts go back to the places by content, and the spans of a document are
-    merged when its text is read the last time.
-
-An anchor with more than ``WIDE`` distinct segments is too much for one shard; its
-windows become segments of their own, under their own hash, and step 3 settles them.
+3.  Segments of equal content are one, with a count, a first and a last place.
+4.  The texts at these two places are cut out and dealt by anchor into shards of bounded
+    size, each under an index of its own.  The index alone finds the windows that
+    recur, those of equal segments as well as those that different segments share.
+5.  Its findings go back to the places by content, the first place and all others apart,
+    and the spans of a document are merged when its text is read the last time.
+
+An anchor whose distinct segments have more than ``wide`` bytes is too much for one
+shard.  Its windows become segments of their own, each with its content as its anchor;
+the first and the last place of each that recurs go to the index like all others.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import textkernel as tk
 from fathomgrid.llm.base import settled, stored
 
-#: Distinct segments of one anchor that one shard takes.
-WIDE = 20_000
+#: About how many bytes a shard has, and how many of one anchor it takes.
+MOST, WIDE = 1_000_000, 500_000
 PLACES = ["k1", "k2", "a", "len", "g", "s", "own"]
 PLACE = "k1 long, k2 int, a int, len int, g long, s long, own boolean"
 #: Low bits of an anchor's hash that give way to its position, more values than a window has grams.
@@ -49,6 +51,11 @@ class Unit:
     window: int
     gram: int
 
+    @property
+    def width(self) -> int:
+        """Grams in a window."""
+        return self.window - self.gram + 1
+
     def values(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, tk.Words | None]:
         """Hashable values of all texts, and the n + 1 places where texts start."""
         if self.words:
@@ -69,7 +76,7 @@ def segments(unit: Unit):  # noqa: ANN201
                 continue
             sums = tk.prefix(values)
             at = np.arange(len(values) - unit.gram + 1)
-            hashes, width = tk.ranged(sums, at, at + unit.gram) | LOW, unit.window - unit.gram + 1
+            hashes, width = tk.ranged(sums, at, at + unit.gram) | LOW, unit.width
             place = at.astype(np.uint64) & LOW
             one = tk.sliding_min(hashes ^ place ^ LOW, width) ^ LOW
             two = tk.sliding_min(hashes ^ place, width)
@@ -79,8 +86,12 @@ def segments(unit: Unit):  # noqa: ANN201
             lo, hi = tk.runs(doc[:n] == doc[unit.window - 1 :], least)
             if not len(lo):
                 continue
+            pieces = -(-(hi - lo) // width)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            lo, end = np.repeat(lo, pieces) + nth * width, np.repeat(hi, pieces)
+            hi = np.minimum(lo + width, end)
             ties = np.concatenate(([0], np.cumsum(tie)))
-            own = (ties[hi] > ties[lo]) | (hi - lo > width)
+            own = ties[hi] > ties[lo]
             of = doc[lo]
             content = tk.ranged(sums, lo, hi - 1 + unit.window)
             pick = pa.array(of)
@@ -92,8 +103,8 @@ def segments(unit: Unit):  # noqa: ANN201
     return run
 
 
-def split(unit: Unit):  # noqa: ANN201
-    """A mapInArrow function: documents with ``cuts`` to places of single windows, hashed by their content."""
+def windows_of(unit: Unit):  # noqa: ANN201
+    """A mapInArrow function: documents with ``cuts`` to the single windows of each cut, hashed by their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.slices(batches):
@@ -101,13 +112,10 @@ def split(unit: Unit):  # noqa: ANN201
             sums = tk.prefix(values)
             for i, cuts in enumerate(b.column("cuts").to_pylist()):
                 for c in cuts:
-                    at = np.arange(c["a"], c["a"] + c["len"])
-                    h = tk.signed(tk.ranged(sums, first[i] + at, first[i] + at + unit.window))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, b.column("k1")[i].as_py())), pa.array(np.full(n, b.column("k2")[i].as_py(), np.int32)), pa.array(at.astype(np.int32)), pa.array(np.ones(n, np.int32)), h, h, pa.array(np.zeros(n, bool))],
-                        names=PLACES,
-                    )
+                    off = np.arange(c["len"])
+                    at = first[i] + c["a"] + off
+                    h = tk.signed(tk.ranged(sums, at, at + unit.window))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(off), c["s"])), pa.array(off.astype(np.int32)), h], names=["s", "off", "h"])
 
     return run
 
@@ -119,21 +127,25 @@ def cut_out(unit: Unit):  # noqa: ANN201
         for b in tk.slices(batches):
             _, first, w = unit.values(b.column("text"))
             data, off = tk.flat(b.column("text"))
-            rows: dict[str, list] = {k: [] for k in ("g", "s", "k1", "k2", "a", "len", "content")}
+            rows: dict[str, list] = {k: [] for k in ("g", "s", "copy", "k1", "k2", "a", "len", "content")}
             for i, cuts in enumerate(b.column("cuts").to_pylist()):
                 k1, k2, base = b.column("k1")[i].as_py(), b.column("k2")[i].as_py(), int(first[i])
                 for c in cuts:
                     lo, hi = base + c["a"], base + c["a"] + c["len"] - 1 + unit.window
                     piece = data[w.start[lo] : w.end[hi - 1]].tobytes() if w else data[lo:hi].tobytes()
-                    for k, v in (("g", c["g"]), ("s", c["s"]), ("k1", k1), ("k2", k2), ("a", c["a"]), ("len", c["len"]), ("content", piece)):
+                    for k, v in (("g", c["g"]), ("s", c["s"]), ("copy", c["copy"]), ("k1", k1), ("k2", k2), ("a", c["a"]), ("len", c["len"]), ("content", piece)):
                         rows[k].append(v)
-            types = {"g": pa.int64(), "s": pa.int64(), "k1": pa.int64(), "k2": pa.int32(), "a": pa.int32(), "len": pa.int32(), "content": pa.binary()}
+            types = {"g": pa.int64(), "s": pa.int64(), "copy": pa.int32(), "k1": pa.int64(), "k2": pa.int32(), "a": pa.int32(), "len": pa.int32(), "content": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in rows.items()], names=list(rows))
 
     return run
 
 
-def sharded(engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], most: int):  # noqa: ANN201
+#: Finds the recurring windows of some segments: (segment's content, first or other place, bounds of its runs).
+Engine = Callable[[list[dict]], Iterator[tuple[int, int, list[int]]]]
+
+
+def sharded(engine: Engine, most: int):  # noqa: ANN201
     """A mapInArrow function over rows sorted by anchor: whole anchors of about ``most`` bytes go to ``engine`` together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +155,8 @@ def sharded(engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], mos
         def flush() -> pa.RecordBatch:
             found = list(engine(rows))
             span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-            covers = [[{"lo": lo, "hi": hi} for lo, hi in zip(c[::2], c[1::2], strict=True)] for _, c in found]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array(covers, pa.list_(span))], names=["s", "cover"])
+            covers = [[{"lo": lo, "hi": hi} for lo, hi in zip(c[::2], c[1::2], strict=True)] for *_, c in found]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array(covers, pa.list_(span))], names=["s", "copy", "cover"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -167,43 +179,67 @@ def bounds(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def repeated_windows(docs: DataFrame, unit: Unit, engine: Callable[[list[dict]], Iterator[tuple[int, list[int]]]], keep_first: bool, most: int = 1_000_000, wide: int = WIDE) -> DataFrame:
+def merged(offsets: Column) -> Column:
+    """[lo, hi) of the runs of consecutive numbers in an array."""
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    one = lambda lo, hi: F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), one(last["lo"], x + 1))
+        return F.when(last["hi"] == x, longer).otherwise(F.concat(acc, one(x, x + 1)))
+
+    return F.aggregate(F.array_sort(offsets), none, add)
+
+
+def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, most: int = MOST, wide: int = WIDE) -> DataFrame:
     """(k1, k2, spans) of keyed documents: spans [lo, hi) of starts of windows to remove, ``array<struct<lo,hi>>``.
 
-    ``keep_first``: of equal windows the first place stays; else all go.
+    What is removed at the first place of a content and at its other places is up to ``engine``.
     """
-    places = docs.mapInArrow(segments(unit), PLACE)
+    places = stored(docs.mapInArrow(segments(unit), PLACE))
     multi = stored(places.groupBy("g").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).filter("n > 1 or own").select("g"))
-    hits = stored(places.join(multi, "g", "left_semi").select(*PLACES))
-
-    def contents(of: DataFrame) -> DataFrame:
-        return of.groupBy("s").agg(F.min(F.struct("k1", "k2", "a")).alias("first"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("len").alias("len"), F.bool_or("own").alias("own"))
+    hits = stored(places.join(multi, "g", "left_semi").select("k1", "k2", "a", "len", "g", "s"))
+    place = F.struct("k1", "k2", "a")
+    found = stored(hits.groupBy("s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("len").alias("len")))
 
-    def cuts(of: DataFrame, place: str) -> DataFrame:
+    def cuts(of: DataFrame) -> DataFrame:
         """Documents with the cuts that ``of`` has in them."""
-        each = of.groupBy(f"{place}k1", f"{place}k2").agg(F.collect_list(F.struct(f"{place}a", "len", "g", "s")).alias("cuts"))
+        each = of.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.a", "len", "g", "s", "copy")).alias("cuts"))
         return docs.join(each, ["k1", "k2"]).select("k1", "k2", "text", "cuts")
 
-    found = stored(contents(hits))
-    groups = found.groupBy("g").agg(F.count("*").alias("n"), F.bool_or("own").alias("own"))
-    hot = settled(groups.filter(F.col("n") > wide).select("g"))
-    if not hot.isEmpty():
-        single = cuts(hits.join(hot, "g", "left_semi"), "").mapInArrow(split(unit), PLACE)
-        hits = stored(hits.join(hot, "g", "left_anti").select(*PLACES).union(single))
-        found = stored(contents(hits))
-        groups = found.groupBy("g").agg(F.count("*").alias("n"), F.bool_or("own").alias("own"))
-    several = stored(groups.filter("n > 1 or own").select("g"))
-    open_ = found.join(several, "g", "left_semi").select("g", "s", "len", "first.k1", "first.k2", "first.a")
-    texts = cuts(open_, "").mapInArrow(cut_out(unit), "g long, s long, k1 long, k2 int, a int, len int, content binary")
-    shards = texts.repartition("g").sortWithinPartitions("g")
-    covers = stored(shards.mapInArrow(sharded(engine, most), "s long, cover array<struct<lo:int,hi:int>>"))
-    verdict = stored(found.join(covers, "s", "left").filter("n > 1 or size(cover) > 0").select("s", "n", "first", "cover"))
-
-    at = hits.join(verdict, "s")
-    whole = (F.struct("k1", "k2", "a") != F.col("first")) if keep_first else F.col("n") > 1
-    part = F.transform("cover", lambda c: F.struct((F.col("a") + c["lo"]).alias("lo"), (F.col("a") + c["hi"]).alias("hi")))
-    every = F.array(F.struct(F.col("a").alias("lo"), (F.col("a") + F.col("len")).alias("hi")))
-    spans = F.when(whole, every).when(F.size("cover") > 0, part)
+    def covers(contents: DataFrame) -> DataFrame:
+        """(s, cover, rest) of contents in which windows recur: those to remove at the first place, and at the others."""
+        at = lambda c, copy: F.struct(F.col(c).alias("at"), F.lit(copy).alias("copy"))
+        two = F.when(F.col("n") > 1, F.array(at("first", 0), at("last", 1))).otherwise(F.array(at("first", 0)))
+        each = contents.select("g", "s", "len", F.explode(two).alias("r")).select("g", "s", "len", "r.at", "r.copy")
+        texts = cuts(each).mapInArrow(cut_out(unit), "g long, s long, copy int, k1 long, k2 int, a int, len int, content binary")
+        shards = texts.repartition("g").sortWithinPartitions("g")
+        out = stored(shards.mapInArrow(sharded(engine, most), "s long, copy int, cover array<struct<lo:int,hi:int>>"))
+        of = lambda copy: F.first(F.when(F.col("copy") == copy, F.col("cover")), ignorenulls=True)
+        return out.groupBy("s").agg(of(0).alias("cover"), of(1).alias("rest"))
+
+    size = (F.col("len") + unit.window) * F.least("n", F.lit(2)) * (8 if unit.words else 1)
+    hot = settled(found.groupBy("g").agg(F.sum(size).alias("size")).filter(F.col("size") > wide).select("g"))
+    if hot.isEmpty():
+        verdict = covers(found)
+    else:
+        # Each window of the wide anchors' contents, as a content of its own.
+        wide_ones = stored(found.join(hot, "g", "left_semi"))
+        each = cuts(wide_ones.select("g", "s", "len", F.col("first").alias("at"), F.lit(0).alias("copy"))).mapInArrow(windows_of(unit), "s long, off int, h long")
+        moved = lambda at: F.struct(f"{at}.k1", f"{at}.k2", (F.col(f"{at}.a") + F.col("off")).alias("a"))
+        each = stored(each.join(wide_ones.select("s", "n", "first", "last"), "s").select("s", "off", "h", "n", moved("first").alias("first"), moved("last").alias("last")))
+        again = each.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).filter("n > 1")
+        again = stored(again.select(F.col("h").alias("s"), F.col("h").alias("g"), F.lit(1).alias("len"), "n", "first", "last"))
+        known = again.select("s", F.col("first").alias("earliest")).join(covers(again), "s").withColumnRenamed("s", "h")
+        known = each.join(known, "h").withColumn("here", F.when(F.col("first") == F.col("earliest"), F.col("cover")).otherwise(F.col("rest")))
+        offsets = lambda c: F.collect_list(F.when(F.size(c) > 0, F.col("off")))
+        split = known.groupBy("s").agg(merged(offsets("here")).alias("cover"), merged(offsets("rest")).alias("rest"))
+        verdict = covers(found.join(hot, "g", "left_anti")).union(split)
+
+    at = hits.join(stored(found.select("s", "first").join(verdict, "s")), "s")
+    cover = F.when(place == F.col("first"), F.col("cover")).otherwise(F.col("rest"))
+    spans = F.transform(cover, lambda c: F.struct((F.col("a") + c["lo"]).alias("lo"), (F.col("a") + c["hi"]).alias("hi")))
     return at.select("k1", "k2", F.explode(spans).alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 

@@ -1,12 +1,14 @@
 """Long byte repeats by a run-length index.
 
-Candidate segments come from ``repeats``.  A shard's segments, each ended by a
-sentinel of its own, are sorted by suffix; the Burrows-Wheeler transform is kept as
-runs of equal letters with the text positions sampled at the heads of runs.  The
-common prefix of a suffix with its predecessor has to be measured at these heads
-only: where two neighbouring rows carry the same letter, the value for the text
-position before is one less.  So the matching statistics stream along the text from
-sample to sample, and with thousands of copies the samples are few.
+Candidate segments come from ``repeats``, two copies of a content that recurs.  A shard's
+segments, each ended by a sentinel of its own, are sorted by suffix once; what is kept
+of it is the Burrows-Wheeler transform as runs of equal letters, with the text positions
+sampled at both ends of each run.  The common prefix of a suffix with its neighbour
+above has to be measured at heads of runs only, and with its neighbour below at their
+tails: where two neighbouring rows carry the same letter, the value for the text
+position before is one more.  The neighbour of a head is the tail before it, so the
+samples are all that is needed, and the matching statistics stream along the text from
+sample to sample.  With thousands of copies the samples are few.
 
 Null texts are empty.  Texts shorter than a window are left as they are.  Matches
 never cross documents.  Equal rows count as one document with one place.
@@ -40,16 +42,16 @@ class RunIndex:
         self.first = np.concatenate(([0], np.cumsum(size)))
         self.owner = np.repeat(np.arange(len(texts)), size)
         self.left = self.first[1:][self.owner] - 1 - np.arange(len(self.text))  # bytes before the sentinel
-        self.order, self.rank = self._suffixes()
-        before = self.text[self.order - 1].astype(np.int16)
-        before[self.left[self.order - 1] == 0] = -1  # the letter before a text's start is its own end
+        order = self._suffixes()
+        before = self.text[order - 1].astype(np.int16)
+        before[self.left[order - 1] == 0] = -1  # the letter before a text's start is its own end
         head = np.ones(len(before), bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
-        self.heads = np.flatnonzero(head)
-        self.letters, self.lengths = before[self.heads], np.diff(np.append(self.heads, len(before)))
-        self.samples = self.order[self.heads]
+        heads = np.flatnonzero(head)
+        self.letters, self.lengths = before[heads], np.diff(np.append(heads, len(before)))
+        self.head_samples, self.tail_samples = order[heads], order[heads + self.lengths - 1]
 
-    def _suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+    def _suffixes(self) -> np.ndarray:
         """Suffix order by prefix doubling from eight bytes; ties end at the sentinels, which sort by text."""
         n = len(self.text)
         wide = np.concatenate((self.text, np.zeros(8, np.uint8))).astype(np.uint64)
@@ -68,7 +70,7 @@ class RunIndex:
             single = begin & np.append(begin[1:], True)
             active = active[~single]
             if not len(active):
-                return order, rank
+                return order
             p = order[active]
             inside = self.left[p] >= h
             second = np.where(inside, rank[np.minimum(p + h, n - 1)] + len(self.first), self.owner[p])
@@ -94,29 +96,33 @@ class RunIndex:
             step >>= 1
         return low
 
+    def _streamed(self, samples: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Values at the samples, carried on along the text: each place has one less than the place before, or its own."""
+        n = len(self.text)
+        known = np.zeros(n, bool)
+        known[samples] = True
+        out = np.zeros(n, np.int64)
+        out[samples] = values
+        last = np.maximum.accumulate(np.where(known, np.arange(n), 0))
+        return np.maximum(out[last] - (np.arange(n) - last), 0)
+
     def matching_statistics(self) -> np.ndarray:
         """For each place the longest string from there that also starts at another place."""
-        n = len(self.text)
-        prefix = np.full(n, -1, np.int64)
-        prior = self.order[np.maximum(self.heads - 1, 0)]
-        value = np.where(self.heads > 0, self._common(self.samples, prior), 0)
-        prefix[self.samples] = value
-        known = np.maximum.accumulate(np.where(prefix >= 0, np.arange(n), 0))
-        prefix = np.maximum(prefix[known] - (np.arange(n) - known), 0)
-        follow = np.zeros(n, np.int64)
-        follow[self.order[:-1]] = prefix[self.order[1:]]
-        return np.minimum(np.maximum(prefix, follow), self.left)
+        between = self._common(self.head_samples[1:], self.tail_samples[:-1])
+        above = self._streamed(self.head_samples, np.append(0, between))
+        below = self._streamed(self.tail_samples, np.append(between, 0))
+        return np.minimum(np.maximum(above, below), self.left)
 
 
 def run_index(window: int):  # noqa: ANN201
     """An engine for ``repeats.sharded``."""
 
-    def run(rows: list[dict]) -> Iterator[tuple[int, list[int]]]:
+    def run(rows: list[dict]) -> Iterator[tuple[int, int, list[int]]]:
         index = RunIndex([r["content"] for r in rows])
         long = index.matching_statistics() >= window
         for r, at in zip(rows, index.first.tolist(), strict=False):
             if (own := long[at : at + r["len"]]).any():
-                yield r["s"], bounds(own)
+                yield r["s"], r["copy"], bounds(own)
 
     return run
 
@@ -143,7 +149,7 @@ def digests(window: int):  # noqa: ANN201
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): bytes of windows that start twice or more are removed."""
     docs = keyed(docs)
-    spans = repeated_windows(docs, Unit(False, window, gram), run_index(window), keep_first=False, **limits)
+    spans = repeated_windows(docs, Unit(False, window, gram), run_index(window), **limits)
     joined = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(digests(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select("doc_id", *(F.col(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")))

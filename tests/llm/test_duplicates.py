@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathomgrid.llm import minhash, phrases, runs
+from fathomgrid.llm import minhash, phrases, repeats, runs
 from fathomgrid.llm import textkernel as tk
+from fathomgrid.llm.base import keyed
 
 
 def words(t, lower=False):
@@ -116,8 +117,7 @@ def later_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 2000}, {"wide": 1}])
-@pytest.mark.parametrize("window", [20, 8])
+@pytest.mark.parametrize(("limits", "window"), [({}, 20), ({"most": 2000}, 8), ({"wide": 1}, 20), ({"wide": 3000}, 8)])
 def test_phrases(plain, limits, window):
     got = Counter(tuple(r) for r in phrases.without_repeats(plain, window=window, **limits).collect())
     assert got == Counter(later_words(rows_of(plain), window))
@@ -147,13 +147,44 @@ def repeated_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 2000}, {"wide": 1}])
-@pytest.mark.parametrize("window", [400, 90])
+@pytest.mark.parametrize(("limits", "window"), [({}, 400), ({"most": 2000}, 90), ({"wide": 1}, 400), ({"wide": 3000}, 90)])
 def test_run_index(plain, limits, window):
     got = Counter(tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in runs.without_repeats(plain, window=window, **limits).collect())
     assert got == Counter(repeated_bytes(rows_of(plain), window))
 
 
+def test_nothing_recurs_but_by_the_index(plain):
+    none = lambda rows: iter(())
+    for limits in ({}, {"wide": 1}):
+        assert repeats.repeated_windows(keyed(plain), repeats.Unit(False, 90, 64), none, **limits).count() == 0
+        assert repeats.repeated_windows(keyed(plain), repeats.Unit(True, 8, 5), none, **limits).count() == 0
+
+
+def test_periodic_texts(spark):
+    texts = {0: "-" * 3000, 1: "-" * 1999, 2: "abcde" * 500, 3: "x" + "abcde" * 90, 4: ("y" * 170 + "z") * 9, 5: "-" * 450 + "ab", 6: "*" * 420}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for limits in ({}, {"wide": 1000}):
+        got = Counter(tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in runs.without_repeats(df, **limits).collect())
+        assert got == Counter(repeated_bytes(rows_of(df), 400))
+
+
+def test_the_transform_can_be_undone():
+    texts = [b"banana", b"bandana", b"", b"banana"]
+    index = runs.RunIndex(texts)
+    assert index.letters[index.letters >= 0].astype(np.uint8).tobytes().count(b"n") < sum(t.count(b"n") for t in texts)
+    assert len(index.letters) == len(index.lengths) == len(index.head_samples) == len(index.tail_samples)
+    column = np.repeat(index.letters, index.lengths)
+    rows = np.flatnonzero(column >= 0)
+    up = np.zeros(len(column), np.int64)  # suffixes of one letter stand in the order of the rows that carry it; the ends are last
+    up[rows[np.argsort(column[rows], kind="stable")]] = np.arange(len(rows))
+    for row, text in enumerate(texts, len(rows)):
+        back = []
+        while column[row] >= 0:
+            back.append(int(column[row]))
+            row = up[row]
+        assert bytes(reversed(back)) == text
+
+
 def test_run_index_in_odd_tables(nasty, empty):
     got = Counter(r.kept_sha256 for r in runs.without_repeats(nasty).collect())
     assert got == Counter(r[4] for r in repeated_bytes(rows_of(nasty), 400))
