@@ -46,25 +46,33 @@ def tokens(line: Column) -> Column:
 
 
 def salted(rows: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
-    """``rows`` joined with ``few``, a row for each value of ``on`` at most; rows of one value are dealt by ``x`` to SALTS tasks."""
+    """``rows`` joined with ``few``, a row for each value of ``on`` at most; rows of one value are dealt by ``salt`` to SALTS tasks."""
     copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod("x", F.lit(SALTS)).cast("int")).join(copies, [on, "salt"], how).drop("salt")
+    return rows.join(copies, [on, "salt"], how).drop("salt")
+
+
+def salt(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(x, pos, n, t): token count and template of each line with words of texts (x, text); texts with one x are equal."""
-    lines = docs.select("x", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
+    """(x, pos, n, t): token count and template of each line with words of texts (x, salt, text).
+
+    Texts with one x are equal, and told apart by ``salt`` where work is dealt out.
+    """
+    lines = docs.select("x", "salt", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
     lines = lines.withColumn("tokens", tokens(F.col("line")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf")
     bare = (F.size("tokens") < MIN_TOKENS) & F.forall("tokens", lambda t: t == VARIABLE)
     own = F.when(bare, F.xxhash64(F.trim(F.translate("line", SPACES, " " * len(SPACES))))).otherwise(F.xxhash64("tokens"))
-    flat = stored(lines.select("x", "pos", F.size("tokens").alias("n"), leaf, own.alias("own")))
+    flat = stored(lines.select("x", "salt", "pos", F.size("tokens").alias("n"), leaf, own.alias("own")))
 
     # Leaves with several lines, and their templates.
     counts = stored(flat.filter(F.col("n") >= MIN_TOKENS).groupBy("leaf", "own").agg(F.count("*").alias("c"), F.min(F.struct("x", "pos")).alias("at")))
     mixed = settled(counts.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf"))
     wanted = counts.join(mixed, "leaf", "left_semi").groupBy("at.x").agg(F.collect_list(F.struct("at.pos", "leaf", "own", "c")).alias("w"))
-    kinds = docs.join(wanted, "x").select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
+    wanted = stored(wanted)  # with an exchange of its own on this side, copies of a text can be split in the join
+    kinds = docs.select("x", "text").join(wanted.hint("merge"), "x").select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
     kinds = kinds.select("w.leaf", "w.own", "w.c", tokens(F.element_at("l", F.col("w.pos") + 1)).alias("tokens"))
     kinds = stored(kinds.dropDuplicates(["leaf", "own"]))  # copies of a text have the line as well
     votes = kinds.select("leaf", "c", F.posexplode("tokens").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("c").alias("c"))
@@ -81,14 +89,14 @@ def templates(docs: DataFrame) -> DataFrame:
 def voted(at: DataFrame, votes: DataFrame, min_docs: int) -> DataFrame:
     """(x, drop): positions in ``at`` (x, pos, t) of the templates that have ``min_docs`` of the votes (t, a distinct voter)."""
     boiler = votes.groupBy("t").agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_docs).select("t")
-    return salted(at, settled(boiler), "t", "left_semi").groupBy("x").agg(F.collect_set("pos").alias("drop"))
+    return salted(at.withColumn("salt", salt("x")), settled(boiler), "t", "left_semi").groupBy("x").agg(F.collect_set("pos").alias("drop"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, copy: float = COPY) -> DataFrame:
-    """(x, drop) of the texts (x, text) that have lines to drop: the positions of these."""
+    """(x, drop) of the texts (x, text) that have lines to drop: the positions of these; ``docs`` as in ``templates``."""
     named = templates(docs)
     common = named.select("t", "x").distinct().groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= min_docs).select("t", F.lit(1).alias("common"))
-    marked = salted(named, settled(common), "t", "left")
+    marked = salted(named.withColumn("salt", salt("x")), settled(common), "t", "left")
     share = F.sum(F.when(F.col("common") == 1, F.col("n")).otherwise(0)) / F.sum("n")
     mine = F.collect_list(F.when(F.col("common") == 1, F.struct("pos", "t")))
     each = stored(marked.groupBy("x").agg(share.alias("share"), mine.alias("mine")).filter("share > 0"))
@@ -113,7 +121,8 @@ def left(text: Column, drop: Column) -> Column:
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy: float = COPY) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of every row of ``docs``; the text of null stays null."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("x"))
-    joined = docs.join(recurring(docs.filter("text is not null").select("x", "text"), min_docs, copy), "x", "left")
+    drop = stored(recurring(docs.filter("text is not null").select("x", salt("doc_id"), "text"), min_docs, copy))
+    joined = docs.join(drop.hint("merge"), "x", "left")  # the list grows with the documents and is never broadcast
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     gone = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop"))
     return joined.select("doc_id", count.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), left(F.col("text"), F.col("drop")).alias("kept_text"))
