@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
     x = F.xxhash64("k1", "k2").alias("x")
     copies = stored(_groups(rows).filter(F.col("group") != x).select(x, "group"))
-    drop = linetree.boilerplate(rows.filter("text is not null").select(x, "text"), copies)
-    out = rows.withColumn("x", x).join(drop, "x", "left").withColumn("text", linetree.left(F.col("text"), F.col("drop")))
+    drop = linetree.boilerplate(rows.filter("text is not null").select(x, linetree.salt("doc_id"), "text"), copies)
+    out = rows.withColumn("x", x).join(drop.hint("merge"), "x", "left").withColumn("text", linetree.left(F.col("text"), F.col("drop")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
