@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -234,13 +235,13 @@ def best_windows(docs, items, similarity=0.8):
 
 
 def test_decontamination(spark, nasty):
-    items = [(i, prose(1000 + i, n)) for i, n in enumerate((45, 30, 12, 60, 3, 1))] + [(6, None), (7, ""), (8, items_copy := prose(1000, 45))]
+    items = [(i, prose(1000 + i, n)) for i, n in enumerate((45, 30, 12, 60, 3, 1))] + [(6, None), (7, ""), (8, items_copy := prose(1000, 45)), (None, prose(1001, 30))]
     rows = [(0, prose(1, 30) + " " + items[0][1].upper() + " " + prose(2, 30)), (1, items[1][1]), (2, None), (3, ""), (4, prose(3, 200))]
     cut = items[3][1].split()
     cut[20] = "other"
     rows += [(5, prose(4, 10) + " " + " ".join(cut)), (6, "x " + items[4][1] + " y"), (7, items[5][1]), (8, " ".join(items[0][1].split()[:40])), (None, items_copy)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, item_id long, similarity string")
+    bench = spark.createDataFrame([(*r, 0.5) for r in items], "item_id long, text string, start double")
     for block in (5000, 2):
         got = Counter((r.doc_id, r.item_id, r.start, round(r.similarity, 9)) for r in decontam.contaminated(docs, bench, block=block).collect())
         assert got == best_windows(rows, items)
@@ -252,13 +253,30 @@ def test_decontamination(spark, nasty):
 def test_index_finds_all_within_the_radius():
     items = decontam.Items(list(range(40)), [prose(i, 20) for i in range(40)], 5, 0.8)
     rng = np.random.Generator(np.random.PCG64(6))
+    prints, wanted = [], []
     for i, f in enumerate(items.print):
-        for distance in (0, 1, 8, 16, decontam.RADIUS):
+        for distance in (0, 1, 8, 40, decontam.RADIUS):
             for _ in range(20):
-                g = f
-                for bit in rng.choice(64, distance, replace=False):
-                    g ^= 1 << int(bit)
-                assert i in items.candidates(g)
+                bits = np.unpackbits(f.view(np.uint8))
+                bits[rng.choice(decontam.BITS, distance, replace=False)] ^= 1
+                prints.append(np.packbits(bits).view("<u2"))
+                wanted.append((len(prints) - 1, i))
+    found = set(zip(*(x.tolist() for x in items.candidates(np.array(prints))), strict=True))
+    assert found >= set(wanted) and len(found) < 2 * len(wanted)
+
+
+def test_fingerprints_of_similar_windows_are_near():
+    rng, far, total = random.Random(4), 0, 0
+    for n in range(300):
+        words = prose(n, 44).split()
+        other = list(words)
+        for at in rng.sample(range(44), 1):
+            other[at] = "changed"
+        items = decontam.Items([0, 1], [" ".join(words), " ".join(other)], 5, 0.8)
+        if items.alike(0, items.shingles[1]) >= 0.75:
+            total += 1
+            far += 1 not in items.candidates(items.print[:1])[1]
+    assert total > 200 and far <= 1
 
 
 def test_targets():
