@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,31 +76,83 @@ def neighbors(edges: DataFrame, start: list[str], depth: int = 1, direction: str
         ways.append(live.select(F.col("target").alias("at"), F.col("source").alias("id")))
     steps = reduce(DataFrame.union, ways).distinct()
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(s, 0) for s in start], "id string, depth int")
-    front = seen
+    level = spark.createDataFrame([(s,) for s in start], "id string")
+    levels: list[DataFrame] = []
     for d in range(1, depth + 1):
-        front = steps.join(front.select(F.col("id").alias("at")), "at").select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.union(front)
-        if limit is not None and d < depth and seen.filter("depth > 0").limit(limit).count() >= limit:
+        # A level is used twice, by the next and by the result: both read the one exchange of its ``distinct``.
+        level = steps.join(level.select(F.col("id").alias("at")), "at").select("id").distinct()
+        levels.append(level.withColumn("depth", F.lit(d)))
+        out = reduce(DataFrame.union, levels).filter(~F.col("id").isin(start)).groupBy("id").agg(F.min("depth").alias("depth"))
+        if limit is not None and d < depth and out.limit(limit).count() >= limit:
             break
-    out = seen.filter("depth > 0")
     return out.orderBy("depth", "id").limit(limit) if limit is not None else out
 
 
+def focused(edges: DataFrame, focus: str, confidence: tuple[str, ...] = ("certain",), rels: list[str] | None = None, depth: int = 1) -> DataFrame:
+    """The edges (source, target, rel, confidence) among a node and its neighbours, of the given confidence and kinds."""
+    live = edges.filter(F.col("confidence").isin(list(confidence)))
+    live = live.filter(F.col("rel").isin(rels)) if rels else live
+    ids = neighbors(live, [focus], depth).select("id").union(edges.sparkSession.createDataFrame([(focus,)], "id string"))
+    return live.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+
+
+def filtered(nodes: DataFrame, edges: DataFrame, rels: list[str] | None = None, label: str = "", folders: bool = True, orphans: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a view: kinds of links, a part of the label, with or without folders and nodes without links."""
+    shown = nodes.filter(F.lower("label").contains(label.lower()))
+    shown = shown if folders else shown.filter("kind != 'folder'")
+    live = edges.filter(F.col("rel").isin(rels)) if rels else edges
+    ids = shown.select("id")
+    live = live.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+    if not orphans:
+        shown = shown.join(degree(live), "id", "left_semi").select(*shown.columns)
+    return shown, live
+
+
 def rename_closure(events: DataFrame, hops: int = 64) -> DataFrame:
     """(source, target, commit, hops) of rename chains old -> new, by their last hop; renames back to the start drop out.
 
     ``events``: (seq, old, new, commit); of several renames of one name the last counts.
-    Chains double in length every round, so 64 hops take six joins.
+    Chains double in length every round, so 64 hops take six joins.  A chain that runs
+    into a ring of renames ends where it meets a name for the second time: at the ring's
+    first name that it reached, by the ring's hop into it.
     """
     last = events.groupBy("old").agg(F.max_by(F.struct("new", "commit"), "seq").alias("e"))
-    link = last.select(F.col("old").alias("source"), F.col("e.new").alias("target"), F.col("e.commit").alias("commit"), F.lit(1).alias("hops"))
-    reach = 1
+    one = settled(last.select(F.col("old").alias("source"), F.col("e.new").alias("target"), F.col("e.commit").alias("commit"), F.lit(1).alias("hops")))
+    link = _doubled(one, hops)
+    goes_on = one.select(F.col("source").alias("target"))
+    stuck = settled(link.join(goes_on, "target", "left_semi"))
+    if stuck.isEmpty():
+        return link.filter("source != target")
+    # Hops in a ring only turn it, so that its names are what is reached after very many hops.
+    ring = settled(_doubled(stuck.select("source", "target", "commit", "hops"), 64, one).join(goes_on, "target", "left_semi").select(F.col("target").alias("name")).distinct())
+    inside = ring.withColumnRenamed("name", "source")
+    into = one.join(inside, "source", "left_semi").groupBy("target").agg(F.min("commit").alias("into"))
+    ends = _doubled(one.join(inside, "source", "left_anti"), hops).join(into, "target", "left")
+    return ends.select("source", "target", F.coalesce("into", "commit").alias("commit"), "hops").filter("source != target")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the session's ``spark.checkpoint.dir``; where none is set, on one machine, in a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def _doubled(link: DataFrame, hops: int, step: DataFrame | None = None) -> DataFrame:
+    """Chains of up to ``hops`` links; ``step``: links to go on by, else their own.  Every round is kept, so that plans don't grow."""
+    step, reach = link if step is None else step, 1
     while reach < hops:
-        on = link.select(F.col("source").alias("target"), F.col("target").alias("far"), F.col("commit").alias("far_commit"), F.col("hops").alias("more"))
-        link = link.join(on, "target", "left").select("source", F.coalesce("far", "target").alias("target"), F.coalesce("far_commit", "commit").alias("commit"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        on = lambda of: of.select(F.col("source").alias("target"), F.col("target").alias("far"), F.col("commit").alias("far_commit"), F.col("hops").alias("more"))
+        go = lambda of, on: settled(of.join(on, "target", "left").select("source", F.coalesce("far", "target").alias("target"), F.coalesce("far_commit", "commit").alias("commit"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+        same = link is step
+        link = go(link, on(step))
+        step = link if same else go(step, on(step))
         reach *= 2
-    return link.filter("source != target")
+    return link
 
 
 def fold(log: DataFrame) -> DataFrame:

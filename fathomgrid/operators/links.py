@@ -96,3 +96,9 @@ def call_categories(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """Calls with ``category``: UNIQUE, AMBIG or EXTERN by the number of definitions (token, defs)."""
     j = calls.join(definitions, "token", "left")
     return j.withColumn("category", F.when(F.col("defs").isNull(), "EXTERN").when(F.col("defs") == 1, "UNIQUE").otherwise("AMBIG"))
+
+
+def call_confusion(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(kind, UNIQUE, AMBIG, EXTERN): counts of calls (kind, token) by category."""
+    each = call_categories(calls, definitions).groupBy("kind").pivot("category", ["UNIQUE", "AMBIG", "EXTERN"]).agg(F.count("*"))
+    return each.fillna(0)

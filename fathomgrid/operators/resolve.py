@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import shingles, sketch, tokens
+from fathomgrid.operators.documents import staged
 
 
 def file_ladder(old: DataFrame, now: DataFrame, alias: DataFrame) -> DataFrame:
@@ -32,10 +33,49 @@ def symbol_ladder(old: DataFrame, now: DataFrame, alias: DataFrame) -> DataFrame
     return j.select(*old.columns, stage.alias("stage"), F.coalesce("t1", "t2", F.when(F.col("_n") == 1, F.col("t3"))).alias("target"))
 
 
+def symbol_ladder_full(old: DataFrame, now: DataFrame, alias: DataFrame, found: float = 0.4, gone: float = 0.2) -> DataFrame:
+    """``old`` (path, sym, text) with (stage, target): ``symbol_ladder``, and S4 or S5 where it says GONE.
+
+    S4: a symbol of the tree whose text is as similar as ``found``; S5: only as similar as
+    ``gone``, so that it exists but can't be told; both by sketch votes and exact shingles.
+    """
+    first = symbol_ladder(old, now, alias)
+    ident = F.concat_ws("#", "path", "sym").alias("id")
+    lost = first.filter("stage = 'GONE'").select(ident, "text").distinct()
+    near = sketch_matches(lost, now.select(ident, "text").distinct(), threshold=gone)
+    named = first.withColumn("id", F.concat_ws("#", "path", "sym")).join(near, "id", "left")
+    stage = F.when(F.col("stage") != "GONE", F.col("stage")).when(F.col("jaccard") >= found, "S4").when(F.col("jaccard") >= gone, "S5").otherwise("GONE")
+    target = F.when(F.col("stage") != "GONE", F.col("target")).when(F.col("jaccard") >= found, F.substring_index("match", "#", 1))
+    return named.select(*old.columns, stage.alias("stage"), target.alias("target"))
+
+
+def heading_ladder(old: DataFrame, now: DataFrame) -> DataFrame:
+    """``old`` (path, slug, hint) with (stage, target): H1 same slug in the file, H2 a heading of the hinted text there, H3 broken."""
+    same = now.select("path", "slug", F.col("slug").alias("target"))
+    text = now.groupBy("path", F.col("title").alias("hint")).agg(F.min_by("slug", "pos").alias("target"))
+    return staged(old, [("H1", same, ["path", "slug"]), ("H2", text, ["path", "hint"])], "H3")
+
+
+def column_ladder(old: DataFrame, now: DataFrame) -> DataFrame:
+    """``old`` (path, name) with (stage, target): C1 a column of that name in the file, C2 broken."""
+    return staged(old, [("C1", now.select("path", "name", F.col("name").alias("target")), ["path", "name"])], "C2")
+
+
+def row_ladder(old: DataFrame, now: DataFrame) -> DataFrame:
+    """``old`` (path, n, hint) with (stage, target): I1 the row or cell of that number has the hint, I2 the first one of the file that has it, I3 broken."""
+    same = now.select("path", "n", "hint", F.col("n").alias("target"))
+    moved = now.groupBy("path", "hint").agg(F.min("n").alias("target"))
+    return staged(old, [("I1", same, ["path", "n", "hint"]), ("I2", moved, ["path", "hint"])], "I3")
+
+
+def row_hint(first: Column, row: Column) -> Column:
+    """The anchor of a row: its first value and a short hash of it all."""
+    return F.concat_ws(":", first, F.substring(F.sha2(row, 256), 1, 8))
+
+
 def jaccard_within(sets: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, a, b, jaccard) of the pairs a < b of a group that share an element of ``s``."""
-    each = sets.select(group, key, F.explode("s").alias("g"))
-    sized = each.join(each.groupBy(group, key).agg(F.count("*").alias("n")), [group, key])
+    """(group, a, b, jaccard) of the pairs a < b of a group that share an element of their sets ``s``."""
+    sized = sets.select(group, key, F.size("s").alias("n"), F.explode("s").alias("g"))
     a, b = sized.select(group, F.col(key).alias("a"), "g", F.col("n").alias("na")), sized.select(group, F.col(key).alias("b"), "g", F.col("n").alias("nb"))
     both = a.join(b, [group, "g"]).filter("a < b").groupBy(group, "a", "b", "na", "nb").agg(F.count("*").alias("k"))
     return both.select(group, "a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))

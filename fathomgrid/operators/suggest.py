@@ -24,7 +24,7 @@ def ext(path: Column) -> Column:
 def code_tokens(content: DataFrame) -> DataFrame:
     """(path, token) of inline code in markdown outside fences."""
     lines = content.filter(ext(F.col("path")) == "md").select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    fence = F.col("line").startswith("```") | F.col("line").startswith("~~~")
+    fence = F.ltrim("line").startswith("```") | F.ltrim("line").startswith("~~~")
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     open_ = F.coalesce(F.sum(fence.cast("int")).over(w), F.lit(0)) % 2 == 1
     return lines.withColumn("fenced", open_ | fence).filter("not fenced").select("path", F.explode(inline_code(F.col("line"))).alias("token"))
@@ -50,6 +50,39 @@ def described(content: DataFrame, symbols: DataFrame, dictionary: DataFrame | No
     return best.select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit("describes").alias("rel"), F.lit("suggested").alias("origin"), F.lit("probable").alias("confidence"), "token", "mentions")
 
 
+def plain_word(token: Column, dictionary: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` whose token is no English word by the dictionary (word), endings s, es, ed and ing apart.
+
+    Kept are identifiers of four characters or more that are compound or unknown.
+    """
+    words = dictionary.select(F.lower("word").alias("_stem")).distinct()
+    low = F.lower(token)
+    joint = token.contains("_") | token.rlike("[a-z][A-Z]|[A-Z]{2,}[a-z]|[0-9]")
+    stems = F.array(low, *[F.when(low.endswith(e), F.substring(low, F.lit(1), F.length(low) - len(e))) for e in ("s", "es", "ed", "ing")])
+    named = tokens.filter(token.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & (F.length(token) >= 4)).withColumn("_row", F.monotonically_increasing_id()).withColumn("_joint", joint)
+    known = named.filter(~F.col("_joint")).select("_row", F.explode(stems).alias("_stem")).join(words, "_stem", "left_semi").select("_row").distinct()
+    return named.join(known, "_row", "left_anti").select(*tokens.columns)
+
+
+def rare_in_prose(tokens: DataFrame, prose: DataFrame, most: int = 3) -> DataFrame:
+    """Rows of ``tokens`` (token) that stand at most ``most`` times as words of ``prose`` (text)."""
+    words = prose.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("token"))
+    common = words.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > most).select("token")
+    return tokens.join(common, "token", "left_anti").select(*tokens.columns)
+
+
+PATH_LIKE = r'"([A-Za-z0-9_./\-]{4,120}\.[A-Za-z0-9]{1,6})"'
+
+
+def referenced_from(content: DataFrame, files: DataFrame) -> DataFrame:
+    """R2 over the text of settings files: quoted strings like paths, from the file's own folder or else from the root."""
+    few = content.filter(ext(F.col("path")).isin(CONFIG)).select(F.col("path").alias("source"), F.explode(F.regexp_extract_all("text", F.lit(PATH_LIKE), F.lit(1))).alias("value"))
+    few = few.filter(~F.col("value").startswith("http") & ~F.col("value").startswith("/")).distinct()
+    near = few.select("source", "value", F.posexplode(F.array(joined_path(parent(F.col("source")), F.col("value")), joined_path(F.lit(""), F.col("value")))).alias("pos", "path"))
+    hit = near.join(files.select("path").distinct(), "path", "left_semi").groupBy("source", "value").agg(F.min_by("path", "pos").alias("target"))
+    return _link(hit.filter("source != target").select("source", "target"), "references", "extracted")
+
+
 def undecided(candidates: DataFrame, decisions: DataFrame, rule: str = "R1") -> DataFrame:
     """Candidates that nobody has accepted or rejected."""
     return candidates.withColumn("key", decision_key(F.lit(rule), F.col("from"), F.col("to"))).join(decisions.select("key").distinct(), "key", "left_anti")

@@ -63,8 +63,7 @@ FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id), c GR
 
 
 def _bm25(spark: SparkSession, d: str, query: list[str]) -> DataFrame:
-    docs = read(spark, d, "documents")
-    scores = search.bm25(search.postings(docs), search.lengths(docs), query)
+    scores = search.matched(read(spark, d, "documents"), query)
     return search.top(scores.select("doc_id", F.round("score", 6).alias("score")), 20, "doc_id")
 
 

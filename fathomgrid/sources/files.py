@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import subprocess
+import tarfile
 import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -174,3 +176,21 @@ def commits(spark: SparkSession, root: str, most: int = 8000) -> DataFrame:
         elif line:
             rows.append((commit, line))
     return spark.createDataFrame(rows, "commit string, file string")
+
+
+def at_revision(spark: SparkSession, root: str, rev: str = "HEAD", glob: str = "*.py") -> DataFrame:
+    """(path, text) of the files of a revision in the git history of a tree; empty without one."""
+    run = subprocess.run(["git", "-C", root, "archive", "--format=tar", rev, "--", glob], capture_output=True, check=False)
+    rows = []
+    if run.returncode == 0:
+        with tarfile.open(fileobj=io.BytesIO(run.stdout)) as tar:
+            for m in tar.getmembers():
+                if m.isfile() and (f := tar.extractfile(m)):
+                    rows.append((m.name, f.read().decode("utf-8", "replace")))
+    return spark.createDataFrame(rows, "path string, text string")
+
+
+def deleted(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files that some commit deleted."""
+    run = subprocess.run(["git", "-C", root, "log", "--all", "--diff-filter=D", "--name-only", "--format="], capture_output=True, text=True, check=False)
+    return spark.createDataFrame([(x,) for x in sorted(set(run.stdout.split("\n"))) if x], "path string")

@@ -9,10 +9,13 @@ ends at its line, an unclosed bracket hides nothing.  ``register`` adds parsers.
 from __future__ import annotations
 
 import json
+import keyword
 import re
 import tomllib
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -95,8 +98,9 @@ def block_end(code: str, at: int) -> int:
 
 def depths(code: str) -> Callable[[int], int]:
     """Brace depth at a place."""
-    marks = [(m.start(), 1 if m[0] == "{" else -1) for m in re.finditer("[{}]", code)]
-    return lambda at: sum(d for p, d in marks if p < at)
+    marks = [m.start() for m in re.finditer("[{}]", code)]
+    sums = [0, *accumulate(1 if code[m] == "{" else -1 for m in marks)]
+    return lambda at: sums[bisect_left(marks, at)]
 
 
 def go(text: str) -> Parsed:
@@ -201,13 +205,13 @@ def numbered(slugs: list[str]) -> list[str]:
 
 
 def markdown(text: str) -> Parsed:
-    """ATX headings outside fences; a section runs to the next heading of its level or above."""
+    """ATX headings with a text outside fences, indented ones too; a section runs to the next heading of its level or above."""
     heads, at, fenced = [], 0, False
     for line in text.split("\n"):
-        if line.startswith(("```", "~~~")):
+        if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
-        elif not fenced and (m := re.match(r"(#{1,6})\s+(.*)", line)):
-            heads.append((len(m[1]), re.sub(r"\s+#+\s*$", "", m[2]).strip(), at))
+        elif not fenced and (m := re.match(r"\s*(#{1,6})\s(.*)", line, re.S)) and (title := m[2].strip().rstrip("#").strip()):
+            heads.append((len(m[1]), title, at))
         at += len(line) + 1
     ids = numbered([slugify(t) for _, t, _ in heads])
     out = []
@@ -223,7 +227,7 @@ def underlined(text: str) -> Parsed:
     for i, line in enumerate(lines[:-1]):
         under, title = lines[i + 1].rstrip(), line.strip()
         if title and re.fullmatch(r"([=\-~^\"'#*+.:_])\1*", under) and len(under) >= len(title) and not re.fullmatch(r"([=\-~^\"'#*+.:_])\1*", title):
-            heads.append((title, at, at + len(line) + 1 + len(lines[i + 1])))
+            heads.append((title, at, at + len(line) + 1 + len(lines[i + 1]) + (i + 2 < len(lines))))
         at += len(line) + 1
     ids = numbered([slugify(t) for t, *_ in heads])
     return [Symbol(i, "heading", t, s, e) for i, (t, s, e) in zip(ids, heads, strict=True)], [], False
@@ -342,6 +346,33 @@ def imports(content: DataFrame, most: int = 5 << 20) -> DataFrame:
     return _each(content, lambda path, i, spec, _: (path, i, spec), 1, "path string, seq int, spec string", most)
 
 
+def docstrings(content: DataFrame, most: int = 5 << 20) -> DataFrame:
+    """(path, text) of the docstrings of Python modules, classes and functions."""
+    found = r"(?s)(?:^|(?:def|class)\s[^\n]*:[ \t]*)(?:\s|#[^\n]*\n)*[rRuU]?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3})"
+    few = content.filter(F.col("path").endswith(".py") & (F.octet_length("text") <= most))
+    each = lambda group: few.select("path", F.explode(F.regexp_extract_all("text", F.lit(found), F.lit(group))).alias("text")).filter("text != ''")
+    return each(1).union(each(2))
+
+
+def calls(content: DataFrame, most: int = 5 << 20) -> DataFrame:
+    """(path, kind, token) of the calls in Python files: bare names, names of ``self``, other attributes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                for m in re.finditer(r"(?:\b(self\.)|(\.))?\b([^\W\d]\w*)\s*\(", blanked(text, PY_TEXT)):
+                    if m[1] or m[2] or not (m[3] in KEYWORDS or re.search(r"\b(?:def|class)\s+$", m.string[: m.start()][-20:])):
+                        rows.append((path, "self" if m[1] else "attr" if m[2] else "bare", m[3]))
+            yield pd.DataFrame(rows, columns=["path", "kind", "token"])
+
+    few = content.filter(F.col("path").endswith(".py") & (F.octet_length("text") <= most))
+    return few.select("path", "text").mapInPandas(run, "path string, kind string, token string")
+
+
+KEYWORDS = set(keyword.kwlist)
+
+
 def frontmatter(text: str) -> list[tuple[str, str]]:
     """Ordered (key, value) pairs of a leading block between lines of three dashes."""
     m = re.match(r"---\r?\n(.*?)\r?\n---(?:\r?\n|\Z)", text, re.S)
