@@ -1,7 +1,6 @@
 """Repeated phrases by sharded Aho-Corasick automata.
 
-Candidate segments come from ``repeats``, the first and another copy of a content that
-recurs.  In a shard the words become characters of
+Candidate segments come from ``repeats``, each content once, with its number.  In a shard the words become characters of
 a private alphabet, so that a phrase of 20 words is a string of 20 characters; the
 phrases that recur in the shard are confirmed and compiled into an automaton, and
 all segments of the shard are streamed through it to locate every occurrence.  The
@@ -46,7 +45,8 @@ def automaton(window: int):  # noqa: ANN201
         at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
         _, back, times = np.unique(key[at], return_inverse=True, return_counts=True)
         machine = ahocorasick.Automaton()
-        for i in at[times[back] > 1].tolist():
+        copies = np.array([min(r["n"], 2) for r in rows])[w.doc[at]]
+        for i in at[(times[back] > 1) | (copies > 1)].tolist():
             phrase = text[i : i + window]
             if phrase not in machine:
                 machine.add_word(phrase, len(machine))
@@ -56,14 +56,17 @@ def automaton(window: int):  # noqa: ANN201
         places = sorted(range(len(rows)), key=lambda i: (rows[i]["k1"], rows[i]["k2"], rows[i]["a"]))
         seen: set[int] = set()
         for i in places:
-            later = np.zeros(rows[i]["len"], bool)
+            later, found = np.zeros(rows[i]["len"], bool), np.zeros(rows[i]["len"], bool)
             for end, phrase in machine.iter(text[first[i] : first[i + 1]]):
+                found[end - window + 1] = True
                 if phrase in seen:
                     later[end - window + 1] = True
                 else:
                     seen.add(phrase)
             if later.any():
-                yield rows[i]["s"], rows[i]["copy"], bounds(later)
+                yield rows[i]["s"], 0, bounds(later)
+            if rows[i]["n"] > 1 and found.any():  # the other places of the same content come after this one
+                yield rows[i]["s"], 1, bounds(found)
 
     return run
 
@@ -90,5 +93,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **l
     """(doc_id, n_words, n_removed, kept_text): each word covered by a window that starts earlier too is removed."""
     docs = keyed(docs)
     spans = repeated_windows(docs, Unit(True, window, gram), automaton(window), **limits)
-    joined = docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans.hint("merge"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(digests(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -11,15 +11,15 @@ index that decides within a shard.
 2.  Anchors seen once are dropped; their windows cannot recur, unless the anchor's
     gram itself recurs in the segment, which the segment's ``own`` tells.
 3.  Segments of equal content are one, with a count, a first and a last place.
-4.  The texts at these two places are cut out and dealt by anchor into shards of bounded
-    size, each under an index of its own.  The index alone finds the windows that
-    recur, those of equal segments as well as those that different segments share.
+4.  Their texts are cut out once, with whether they occur several times, and dealt by
+    anchor into shards of bounded size, each under an index of its own.  The index alone
+    finds the windows that recur, within segments and between them.
 5.  Its findings go back to the places by content, the first place and all others apart,
     and the spans of a document are merged when its text is read the last time.
 
 An anchor whose distinct segments have more than ``wide`` bytes is too much for one
 shard.  Its windows become segments of their own, each with its content as its anchor;
-the first and the last place of each that recurs go to the index like all others.
+each that recurs goes to the index like all others.
 """
 
 from __future__ import annotations
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from fathomgrid.llm import textkernel as tk
 from fathomgrid.llm.base import settled, stored
 
-#: About how many bytes a shard has, and how many of one anchor it takes.
-MOST, WIDE = 1_000_000, 500_000
+#: About how many bytes a shard has, and how many of one anchor it takes: an index needs some 60 bytes of memory for each.
+MOST, WIDE = 1_000_000, 6_000_000
 PLACES = ["k1", "k2", "a", "len", "g", "s", "own"]
 PLACE = "k1 long, k2 int, a int, len int, g long, s long, own boolean"
+PLACE_OF = "k1:bigint,k2:int,a:int"
 #: Low bits of an anchor's hash that give way to its position, more values than a window has grams.
 LOW = tk.U(1023)
 
@@ -115,7 +116,9 @@ def windows_of(unit: Unit):  # noqa: ANN201
                     off = np.arange(c["len"])
                     at = first[i] + c["a"] + off
                     h = tk.signed(tk.ranged(sums, at, at + unit.window))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(off), c["s"])), pa.array(off.astype(np.int32)), h], names=["s", "off", "h"])
+                    same = [pa.array(np.full(len(off), c[k], np.int64)) for k in ("s", "n")]
+                    here = pa.StructArray.from_arrays([pa.array(np.full(len(off), b.column("k1")[i].as_py(), np.int64)), pa.array(np.full(len(off), b.column("k2")[i].as_py(), np.int32)), pa.array((c["a"] + off).astype(np.int32))], names=["k1", "k2", "a"])
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(off.astype(np.int32)), h, here], names=["s", "n", "off", "h", "first"])
 
     return run
 
@@ -127,21 +130,21 @@ def cut_out(unit: Unit):  # noqa: ANN201
         for b in tk.slices(batches):
             _, first, w = unit.values(b.column("text"))
             data, off = tk.flat(b.column("text"))
-            rows: dict[str, list] = {k: [] for k in ("g", "s", "copy", "k1", "k2", "a", "len", "content")}
+            rows: dict[str, list] = {k: [] for k in ("g", "s", "n", "k1", "k2", "a", "len", "content")}
             for i, cuts in enumerate(b.column("cuts").to_pylist()):
                 k1, k2, base = b.column("k1")[i].as_py(), b.column("k2")[i].as_py(), int(first[i])
                 for c in cuts:
                     lo, hi = base + c["a"], base + c["a"] + c["len"] - 1 + unit.window
                     piece = data[w.start[lo] : w.end[hi - 1]].tobytes() if w else data[lo:hi].tobytes()
-                    for k, v in (("g", c["g"]), ("s", c["s"]), ("copy", c["copy"]), ("k1", k1), ("k2", k2), ("a", c["a"]), ("len", c["len"]), ("content", piece)):
+                    for k, v in (("g", c["g"]), ("s", c["s"]), ("n", c["n"]), ("k1", k1), ("k2", k2), ("a", c["a"]), ("len", c["len"]), ("content", piece)):
                         rows[k].append(v)
-            types = {"g": pa.int64(), "s": pa.int64(), "copy": pa.int32(), "k1": pa.int64(), "k2": pa.int32(), "a": pa.int32(), "len": pa.int32(), "content": pa.binary()}
+            types = {"g": pa.int64(), "s": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int32(), "a": pa.int32(), "len": pa.int32(), "content": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in rows.items()], names=list(rows))
 
     return run
 
 
-#: Finds the recurring windows of some segments: (segment's content, first or other place, bounds of its runs).
+#: Finds the recurring windows of some segments: (segment's content, 0 for its first place or 1 for all others, bounds of its runs).
 Engine = Callable[[list[dict]], Iterator[tuple[int, int, list[int]]]]
 
 
@@ -201,36 +204,30 @@ def repeated_windows(docs: DataFrame, unit: Unit, engine: Engine, most: int = MO
     multi = stored(places.groupBy("g").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).filter("n > 1 or own").select("g"))
     hits = stored(places.join(multi, "g", "left_semi").select("k1", "k2", "a", "len", "g", "s"))
     place = F.struct("k1", "k2", "a")
-    found = stored(hits.groupBy("s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("len").alias("len")))
+    found = stored(hits.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("len").alias("len")))
 
     def cuts(of: DataFrame) -> DataFrame:
-        """Documents with the cuts that ``of`` has in them."""
-        each = of.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.a", "len", "g", "s", "copy")).alias("cuts"))
-        return docs.join(each, ["k1", "k2"]).select("k1", "k2", "text", "cuts")
+        """Documents with the cuts that ``of`` has first in them."""
+        each = of.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first.a", "len", "g", "s", "n")).alias("cuts"))
+        return docs.join(each.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "cuts")
 
     def covers(contents: DataFrame) -> DataFrame:
         """(s, cover, rest) of contents in which windows recur: those to remove at the first place, and at the others."""
-        at = lambda c, copy: F.struct(F.col(c).alias("at"), F.lit(copy).alias("copy"))
-        two = F.when(F.col("n") > 1, F.array(at("first", 0), at("last", 1))).otherwise(F.array(at("first", 0)))
-        each = contents.select("g", "s", "len", F.explode(two).alias("r")).select("g", "s", "len", "r.at", "r.copy")
-        texts = cuts(each).mapInArrow(cut_out(unit), "g long, s long, copy int, k1 long, k2 int, a int, len int, content binary")
+        texts = cuts(contents).mapInArrow(cut_out(unit), "g long, s long, n long, k1 long, k2 int, a int, len int, content binary")
         shards = texts.repartition("g").sortWithinPartitions("g")
         out = stored(shards.mapInArrow(sharded(engine, most), "s long, copy int, cover array<struct<lo:int,hi:int>>"))
         of = lambda copy: F.first(F.when(F.col("copy") == copy, F.col("cover")), ignorenulls=True)
         return out.groupBy("s").agg(of(0).alias("cover"), of(1).alias("rest"))
 
-    size = (F.col("len") + unit.window) * F.least("n", F.lit(2)) * (8 if unit.words else 1)
+    size = (F.col("len") + unit.window) * (8 if unit.words else 1)
     hot = settled(found.groupBy("g").agg(F.sum(size).alias("size")).filter(F.col("size") > wide).select("g"))
     if hot.isEmpty():
         verdict = covers(found)
     else:
         # Each window of the wide anchors' contents, as a content of its own.
-        wide_ones = stored(found.join(hot, "g", "left_semi"))
-        each = cuts(wide_ones.select("g", "s", "len", F.col("first").alias("at"), F.lit(0).alias("copy"))).mapInArrow(windows_of(unit), "s long, off int, h long")
-        moved = lambda at: F.struct(f"{at}.k1", f"{at}.k2", (F.col(f"{at}.a") + F.col("off")).alias("a"))
-        each = stored(each.join(wide_ones.select("s", "n", "first", "last"), "s").select("s", "off", "h", "n", moved("first").alias("first"), moved("last").alias("last")))
-        again = each.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).filter("n > 1")
-        again = stored(again.select(F.col("h").alias("s"), F.col("h").alias("g"), F.lit(1).alias("len"), "n", "first", "last"))
+        each = stored(cuts(found.join(hot, "g", "left_semi")).mapInArrow(windows_of(unit), f"s long, n long, off int, h long, first struct<{PLACE_OF}>"))
+        again = each.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
+        again = stored(again.select(F.col("h").alias("s"), F.col("h").alias("g"), F.lit(1).alias("len"), "n", "first"))
         known = again.select("s", F.col("first").alias("earliest")).join(covers(again), "s").withColumnRenamed("s", "h")
         known = each.join(known, "h").withColumn("here", F.when(F.col("first") == F.col("earliest"), F.col("cover")).otherwise(F.col("rest")))
         offsets = lambda c: F.collect_list(F.when(F.size(c) > 0, F.col("off")))
