@@ -1,6 +1,7 @@
 """Language identification: words first, then shorter and shorter character n-grams.
 
-A word is a run of letters, lower-cased.  A known word scores its log frequency in
+A word is a run of letters and of the marks on them, lower-cased by Unicode; of scripts
+that don't part words, each ideograph and kana is a word.  A known word scores its log frequency in
 each language.  An unseen one falls back to its n-grams of ``ORDERS[0]`` characters
 (with marks at both ends of the word) that are known, and where none is, to the next
 shorter order.  A text sums the scores of its words; the posterior of the best
@@ -15,7 +16,9 @@ with score 0; so is everything if no labelled row exists.  Rows are independent.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +28,57 @@ from pyspark.sql import functions as F
 from fathomgrid.llm import textkernel as tk
 
 FIT_ROWS, WORDS, GRAMS, ORDERS = 5000, 50_000, 50_000, (4, 3, 2, 1)
-#: Bytes that no word has: all but a-z, A-Z and bytes of longer characters.
-OTHER = np.ones(256, bool)
-OTHER[97:123] = OTHER[65:91] = False
-OTHER[128:] = False
+#: Code points that are words of their own: kana and ideographs.
+SINGLE = ((0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x323B0))
 
 
-def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with A-Z and the capitals of Latin-1 lower-cased."""
-    data, off = tk.flat(col)
-    data = tk.LOWER[data]
-    if len(data) > 1:
-        tail = data[1:]
-        capital = (data[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
-        tail[capital] += 0x20
-    return data, off
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """For each code point 1 for a letter, 2 for one that is a word of its own, 3 for a mark, else 0."""
+    of = {"L": 1, "M": 3}
+    out = np.array([of.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
+    for lo, hi in SINGLE:
+        out[lo:hi][out[lo:hi] == 1] = 2
+    return out
+
+
+def joined(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all ranges, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Vocabulary:
-    """Distinct words of a batch, with n-grams on demand."""
+    """Distinct words of a batch, with n-grams on demand; ``doc`` and ``count``: text of each word, words of each text."""
 
     def __init__(self, col: pa.Array) -> None:
-        self.words = w = tk.Words(lowered(col), space=OTHER)
-        self.hash, self.at, self.back = np.unique(w.hash, return_index=True, return_inverse=True)
+        texts = [(t or "").lower() for t in col.to_pylist()]
+        self.chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        kind = kinds()[self.chars.astype(np.int64)]
+        run = (kind == 1) | (kind == 3)
+        edge = np.zeros(len(kind) + 1, bool)
+        edge[off] = True
+        before, after = np.append(False, run[:-1])[: len(run)], np.append(run[1:], False)[: len(run)]
+        start = np.flatnonzero((run & (~before | edge[:-1])) | (kind == 2))
+        end = np.flatnonzero((run & (~after | edge[1:])) | (kind == 2)) + 1
+        self.count = np.diff(np.searchsorted(start, off))
+        self.doc = np.repeat(np.arange(len(texts)), self.count)
+        letter = np.concatenate(([0], np.cumsum((kind == 1) | (kind == 2))))
+        self.lettered = letter[off[1:]] > letter[off[:-1]]
+        hashes = tk.ranged(tk.prefix(tk.mix(self.chars)), start, end)
+        self.hash, at, self.back = np.unique(hashes, return_index=True, return_inverse=True)
+        self.start, self.size = start[at], (end - start)[at]
 
     def grams(self, which: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, index into which) of the n-grams of words; words too short have none."""
-        w = self.words
-        joined = b"".join(b"\x02" + w.text(int(i)) + b"\x03" for i in self.at[which])
-        chars = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+        """(hash, index into which) of the n-grams of words, with a mark at both ends; words too short have none."""
+        size = self.size[which]
+        first = np.cumsum(size + 2) - (size + 2)
+        chars = np.zeros(int((size + 2).sum()), np.uint64)
+        chars[joined(first + 1, size)] = self.chars[joined(self.start[which], size)]
+        chars[first], chars[first + size + 1] = 2, 3
         if len(chars) < order:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        owner = np.cumsum(chars == 2) - 1
+        owner = np.repeat(np.arange(len(which)), size + 2)
         key = tk.grams(tk.mix(chars), order) + tk.U(order)
         inside = owner[: len(key)] == owner[order - 1 :]
         return key[inside], owner[: len(key)][inside]
@@ -125,21 +147,15 @@ class Model:
         if not self.langs:
             return ["und"] * n, np.zeros(n)
         v = Vocabulary(col)
-        words, doc = self.scores(v), v.words.doc
+        words, doc = self.scores(v), v.doc
         relative = words - words.max(axis=1, keepdims=True) if len(words) else words
         relative = np.maximum(relative, -6.0)  # no word alone outweighs several others
         total = np.stack([np.bincount(doc, weights=relative[v.back, j], minlength=n) for j in range(len(self.langs))], axis=1)
-        tempered = total / np.sqrt(np.maximum(v.words.count, 1))[:, None]
+        tempered = total / np.sqrt(np.maximum(v.count, 1))[:, None]
         odds = np.exp(tempered - tempered.max(axis=1, keepdims=True))
         share = odds / odds.sum(axis=1, keepdims=True)
         best = np.argmax(total, axis=1)
-        lettered = np.zeros(n, bool)
-        plain = np.concatenate(([0], np.cumsum(v.words.data < 128)))
-        ascii_ = plain[v.words.end] - plain[v.words.start] > 0
-        lettered[doc[ascii_]] = True
-        for i in np.flatnonzero(~lettered & (v.words.count > 0)).tolist():
-            lettered[i] = any(c.isalpha() for c in col[i].as_py())
-        return [self.langs[j] if ok else "und" for j, ok in zip(best, lettered, strict=True)], np.where(lettered, share[np.arange(n), best], 0.0)
+        return [self.langs[j] if ok else "und" for j, ok in zip(best, v.lettered, strict=True)], np.where(v.lettered, share[np.arange(n), best], 0.0)
 
 
 def fold(column: Column) -> Column:

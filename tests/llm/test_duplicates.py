@@ -91,6 +91,32 @@ def test_near_duplicates_of_a_family_of_edits(spark):
     assert got == Counter(components(rows_of(df), 3, 85))
 
 
+def test_near_duplicates_of_a_family_of_cuts(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(70):
+        cut, at = rng.randint(1, 45), rng.choice((0, 150, rng.randint(0, 150)))
+        w = base[cut:] if at == 0 else base[: 150 - cut] if at == 150 else base[:at] + base[at + cut :]
+        w += [f"more{rng.randint(0, 3)} {j}" for j in range(rng.choice((0, 0, 5, 12)))]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, percent in ((3, 85), (1, 70)):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k, percent, bands=60).collect())
+        assert got == Counter(components(rows_of(df), k, percent))
+
+
+def test_a_family_of_ten_thousand_forms_no_pairs(spark):
+    rng, texts = random.Random(13), []
+    for i in range(10_000):  # none is similar enough to the first or to another, but all share most with it
+        w = [f"w{j}" for j in range(100)]
+        for e, at in enumerate(range(rng.randint(0, 19), 100, 20) if i else ()):
+            w[at] = f"e{i}.{e}"
+        texts.append((i, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got.filter("kept").count() == 10_000
+
+
 def test_signatures_agree_as_often_as_the_sets():
     rng = np.random.Generator(np.random.PCG64(3))
     for size in (20, 60, 2000):
@@ -192,12 +218,18 @@ def test_run_index_in_odd_tables(nasty, empty):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab", min_size=0, max_size=25), min_size=1, max_size=5))
-def test_matching_statistics(texts):
-    index = runs.RunIndex([t.encode() for t in texts])
+@given(st.lists(st.text(alphabet="ab", min_size=0, max_size=25), min_size=1, max_size=5), st.integers(0, 31))
+def test_matching_statistics(texts, twice):
+    times = [1 + (twice >> i & 1) for i in range(len(texts))]
+    index = runs.RunIndex([t.encode() for t in texts], times)
     got = index.matching_statistics().tolist()
+    for least in (1, 3, 8):
+        assert ((index.matching_statistics(least) >= least) == (np.array(got) >= least)).all()
+    assert int(index.lengths.sum()) == sum((len(t) + 1) * n for t, n in zip(texts, times, strict=True))
+    own = len(got)
+    texts = texts + [t for t, n in zip(texts, times, strict=True) if n > 1]
     places = [(i, j) for i, t in enumerate(texts) for j in range(len(t) + 1)]
-    for n, (i, j) in enumerate(places):
+    for n, (i, j) in enumerate(places[:own]):
         best = 0
         for p, q in places:
             if (p, q) != (i, j):
@@ -206,4 +238,3 @@ def test_matching_statistics(texts):
                     m += 1
                 best = max(best, m)
         assert got[n] == best
-    assert int(index.lengths.sum()) == len(places)

@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,11 +44,58 @@ def test_site_style_tree_removes_what_a_host_repeats(spark):
         rows.append((i, f"https://host.example/{i}", f'<body><div class="top"><p>Welcome to the site of everything</p></div><div class="body"><p>{prose(i, 40)}</p><p>{prose(i + 100, 30)}</p></div><div class="end"><p>All of this belongs to us</p></div></body>'))
     rows.append((99, "https://other.example/1", "<body><div class='top'><p>Welcome to the site of everything</p></div></body>"))
     got = {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows)).collect()}
-    assert {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows), most=1).collect()} == got
+    assert {r.page_id: r.text for r in styletree.main_text(pages_of(spark, rows), most=0).collect()} == got
     assert all(got[i] == f"{prose(i, 40)}\n\n{prose(i + 100, 30)}" for i in range(30))
     assert got[99] == "Welcome to the site of everything"
 
 
+def test_the_tree_alone_removes_boilerplate(spark):
+    page = "<header><p>Some site</p></header><div class='x1'><p>{0}</p><p>{1}</p></div><div class='x2'>{2}</div><footer>All of it is ours</footer>"
+    rows = [(i, f"https://h/{i}", page.format(prose(i, 40), prose(i + 100, 30), "Buy this" if i % 2 else "Buy that")) for i in range(30)]
+    for most in (200_000, 0):
+        got = styletree.main_text(pages_of(spark, rows), priors=False, most=most).collect()
+        assert {r.page_id: r.text for r in got} == {i: f"{prose(i, 40)}\n\n{prose(i + 100, 30)}" for i in range(30)}
+        assert all((r.n_tree, r.n_priors) == (3, 0) for r in got)
+    assert all((r.n_tree, r.n_priors) == (3, 0) for r in styletree.main_text(pages_of(spark, rows)).collect())
+
+
+def test_importance_is_the_entropy(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 3), rng.randint(1, 9), rng.randint(1, 4), rng.randint(1, 6), rng.randint(1, 3)) for _ in range(300)]
+    rows = list({r[:4]: r for r in rows}.values())
+    texts, nodes = styletree.importance(spark.createDataFrame(rows, "host long, print long, style long, h long, n long"))
+    want_texts, want_nodes = {}, {}
+    for host, style in {(r[0], r[2]) for r in rows}:
+        own = [r for r in rows if (r[0], r[2]) == (host, style)]
+        prints = {r[1] for r in own}
+        m = len(prints)
+        entropy = lambda p: -sum(x * math.log(x, m) for x in p if x) if m > 1 else 1.0
+        pages = {h: {r[1] for r in own if r[3] == h} for h in {r[3] for r in own}}
+        # The entropy, to base m, of one page drawn from all m, less what is left when those with the text are known.
+        content = {h: entropy([1 / m] * m) - math.log(len(p), m) if m > 1 else 1.0 for h, p in pages.items()}
+        times = Counter(sum(r[4] for r in own if r[1] == p) for p in prints)
+        presentation = entropy([c / m for c in times.values()])
+        mean = sum(content[h] * len(p) for h, p in pages.items()) / sum(map(len, pages.values()))
+        want_texts |= {(host, style, h): round(c, 9) for h, c in content.items()}
+        want_nodes[host, style] = (m, round(0.9 * mean + 0.1 * presentation, 9))
+    assert {(r.host, r.style, r.h): round(r.content, 9) for r in texts.collect()} == want_texts
+    assert {(r.host, r.style): (r.m, round(r.importance, 9)) for r in nodes.collect()} == want_nodes
+
+
+@pytest.mark.parametrize("bit", ["<a href=\"x>", "<a b='", "<p>", "<a ", "<!x ", "<a \">\" ", "<div class=x><td>", "<a>x<hr>", "</", "<a<", "<!-- ", "<b title='>'\"", "<li><span id=q>", "&lt;<i"])
+def test_parsing_takes_linear_time(bit):
+    began = time.process_time()
+    styletree.blocks(bit * 20_000, {})
+    short = time.process_time() - began
+    styletree.blocks(bit * 100_000 + "<p>text", {})
+    assert time.process_time() - began < 12 * short + 2
+
+
+def test_tags_with_brackets_in_their_values():
+    page = '<div title="a > b" class=\'x\'>one</div><p data-x="<b>">two</p><a href="x>three</a> four < five'
+    assert [b[1] for b in styletree.blocks(page, {})] == ["one", "two", "three four < five"]
+
+
 def test_copies_of_an_article_are_not_boilerplate(spark):
     rows = [(i, f"https://h/{i}", f"<article><p>{prose(1, 50)}</p></article>") for i in range(40)]
     assert {r.text for r in styletree.main_text(pages_of(spark, rows)).collect()} == {prose(1, 50)}
@@ -208,6 +257,20 @@ def test_language(spark):
     assert [r.lang_pred for r in langid.identified(unseen, langid.fit(docs)).orderBy("doc_id").collect()] == ["de", "fr"]
 
 
+def test_words_are_runs_of_letters():
+    texts = ["“Quick”, fox—jumped… «BONJOUR» l’Été", "ПРИВЕТ, мир! ΣΟΦΊΑ", "今日は tea", "नमस्ते 12 a1b", None, "12 — €", "́"]
+    v = langid.Vocabulary(pa.array(texts, pa.string()))
+    words = ["".join(map(chr, v.chars[s : s + n].tolist())) for s, n in zip(v.start, v.size, strict=True)]
+    got = [[words[k] for k in v.back[v.doc == i]] for i in range(len(texts))]
+    assert got[:4] == [["quick", "fox", "jumped", "bonjour", "l", "été"], ["привет", "мир", "σοφία"], ["今", "日", "は", "tea"], ["नमस्ते", "a", "b"]]
+    assert v.lettered.tolist() == [True] * 4 + [False] * 3 and v.count.tolist()[:6] == [6, 3, 4, 3, 0, 0]
+    one = lambda w, n: ["".join(map(chr, x)) for x in zip(*((2, *map(ord, w), 3)[j:] for j in range(n)), strict=False)]
+    for order in (1, 2, 4):
+        key, of = v.grams(np.arange(len(words)), order)
+        assert Counter(of.tolist()) == Counter({i: len(one(w, order)) for i, w in enumerate(words) if one(w, order)})
+        assert len(set(key.tolist())) == len({g for w in words for g in one(w, order)})
+
+
 def test_language_of_odd_tables(nasty, empty):
     assert langid.identified(nasty, langid.fit(nasty)).count() == nasty.count()
     assert {r.lang_pred for r in langid.identified(nasty, langid.fit(empty)).collect()} == {"und"}
