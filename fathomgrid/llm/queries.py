@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_styletree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = styletree.main_text(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_tree", "n_priors")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
