@@ -114,7 +114,7 @@ class Items:
             at = np.flatnonzero(inside & flags[(grams & tk.U((1 << 20) - 1)).astype(np.int64)])
             at = at[keys[np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)] == grams[at]]
             cut = np.flatnonzero(np.diff(w.doc[at], prepend=-1))
-            for x, y in zip(cut, [*cut[1:], len(at)], strict=True):
+            for x, y in zip(cut, np.append(cut, len(at))[1:], strict=True):
                 self._text(w, grams, width, sizes, at[x:y], best)
         for (d, i), (score, start) in best.items():
             yield d, i, start, score
