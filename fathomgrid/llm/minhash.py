@@ -9,11 +9,15 @@ whose ``rows`` bins of a band agree share a bucket.
 Documents with equal sets are one class and never compared.  In a bucket, classes
 are linked to its centre (a star) and not to each other, and each link is confirmed
 on the full sets.  Members that the stars leave outside the largest component
-around a centre become centres in a second round and are held against the members
-of other components; only components count, so within one nothing more has to be compared.
-What two members can share at most is known from what each shares with the centre:
-most pairs could only be linked by shingles that they share and the centre lacks, and
-are formed only where such a shingle brings them together.
+around a centre get a second round against the members of other components; only
+components count, so within one nothing more has to be compared.  What is known there
+of a member is its difference from the centre R: the shingles it lacks and those it adds.
+Let D and U be the sizes of its symmetric difference from R and of its union with R, and
+t the similarity asked for.  Two members x and y whose differences share s elements are
+linked only if  (1 + t) s >= D(x) - (1 - t) U(x) + t D(y);  two members with nothing in
+common there could only be linked if both were linked to R.  So pairs are formed under
+shared elements of differences alone, by the rarest of them, and only with partners
+whose D is small enough: what all members of a family share with R brings none together.
 
 Null and empty texts, and texts of white space, have the empty set: size 0, no
 links, a component of their own.  A text with fewer words than a shingle has is one
@@ -36,6 +40,8 @@ from fathomgrid.llm.base import components, freed, keyed, settled, stored
 
 #: Chance that a pair at similarity 0.85 shares no bucket: (1 - 0.85**5)**28 < 1e-7; at 0.8, with 40 bands, < 1e-6.
 ROWS, BANDS = 5, 28
+#: Sizes of differences within this ratio are one class.
+RATIO = 1.25
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -158,36 +164,39 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
     # Members outside the largest component around a centre, held against the centre's other members.
     alike = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     homes = star.groupBy("b").agg(F.max(F.struct(alike, "a")).alias("h")).select("b", F.col("h.a").alias("home"))
-    around = star.join(homes, "b").select("a", "b", F.col("nb").alias("n"), "common", "home")
-    itself = star.select("a", F.col("a").alias("b"), F.col("na").alias("n"), F.col("na").cast("int").alias("common"), F.col("a").alias("home")).distinct()
+    around = star.join(homes, "b").select("a", "na", "b", F.col("nb").alias("n"), "common", "home")
+    itself = star.select("a", "na", F.col("a").alias("b"), F.col("na").alias("n"), F.col("na").cast("int").alias("common"), F.col("a").alias("home")).distinct()
     named = around.union(itself).join(comps.select(F.col("id").alias("b"), "comp"), "b", "left")
-    named = settled(named.select("a", "b", "n", "common", "home", F.coalesce("comp", "b").alias("comp")))
+    named = settled(named.select("a", "na", "b", "n", "common", "home", F.coalesce("comp", "b").alias("comp")))
     main = named.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "comp")).alias("main"))
     named = named.filter("a != b")  # the star has compared the centre
-    x = settled(named.join(settled(main), "a").filter("comp != main.comp").select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("common").alias("rx"), F.col("comp").alias("cx"), F.col("home").alias("hx")))
+    x = settled(named.join(settled(main), "a").filter("comp != main.comp").select("a", F.col("b").alias("x"), F.col("na"), F.col("n").alias("nx"), F.col("common").alias("rx"), F.col("comp").alias("cx"), F.col("home").alias("hx")))
     if not x.isEmpty():
         named = settled(named.join(x.select("a").distinct(), "a", "left_semi"))
-        # With R the centre's set, |X and Y| <= min(|X and R|, |Y and R|) + |(X - R) and (Y - R)|: a pair that
-        # can't be linked without a shared shingle outside R is looked for under such shingles only.
         # Two members whose likest centre is the same one meet there only.
         apart = (F.col("comp") != F.col("cx")) & ((F.col("home") != F.col("hx")) | (F.col("home") == F.col("a")))
-        within = F.least("rx", "common")
-        most = within + F.least(F.col("nx") - F.col("rx"), F.col("n") - F.col("common"))
-        close = named.join(x, "a").filter(apart & enough(within, F.col("nx"), F.col("n")))
+        t = percent / 100
+        class_of = lambda d: F.log(d) / float(np.log(RATIO))
         centres, theirs = sets.select(F.col("node").alias("a"), F.col("shingles").alias("r")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s"))
-        outside = named.join(theirs, "b").join(centres, "a").select("a", "b", F.explode(F.array_except("s", "r")).alias("h"))
-        recurs = stored(outside.groupBy("a", "h").agg(F.count("*").alias("c")).filter("c > 1"))
-        outside = stored(outside.join(recurs, ["a", "h"]).join(named, ["a", "b"]))
-        # Of x's shingles outside R a partner shares at least ``least``: the rarest ones but least - 1 hold one of them.
-        small = named.groupBy("a").agg(F.min("n").alias("small"))
+        lacks = F.transform(F.array_except("r", "s"), lambda h: F.xxhash64(h))
+        differs = named.join(theirs, "b").join(centres, "a").select("a", "b", "comp", F.explode(F.concat(F.array_except("s", "r"), lacks)).alias("h"))
+        shared = differs.groupBy("a", "h").agg(F.count("*").alias("c"), F.min("comp").alias("l"), F.max("comp").alias("m")).filter("l != m").select("a", "h", "c")
+        size = F.col("n") + F.col("na") - 2 * F.col("common")
+        differs = differs.drop("comp").join(stored(shared), ["a", "h"]).join(named.withColumn("j", F.floor(class_of(size))), ["a", "b"])
+        differs = stored(differs.select("a", "b", "h", "c", "n", "common", "comp", "home", "j"))
+        # Of x's elements that others have, a partner of class j shares at least ``least``: the rarest but least - 1 hold one.
         mine = Window.partitionBy("a", "x")
-        least = F.ceil((F.col("nx") + F.greatest("small", F.col("nx") * percent / 100)) * (percent / (100 + percent)) - 1e-9) - F.col("rx")
-        other = x.join(small, "a").join(outside.select("a", F.col("b").alias("x"), "h", "c"), ["a", "x"])
+        other = x.join(differs.select("a", F.col("b").alias("x"), "h", "c"), ["a", "x"])
         other = other.withColumns({"place": F.row_number().over(mine.orderBy("c", "h")), "of": F.count("*").over(mine)})
-        other = other.filter(F.col("place") <= F.col("of") - F.greatest(least, F.lit(1)) + 1).select("a", "h", "x", "nx", "rx", "cx", "hx")
-        akin = outside.join(other, ["a", "h"]).filter(apart & enough(most, F.col("nx"), F.col("n")))
-        columns = ["x", "nx", "b", "n"]
-        against = close.select(*columns).union(akin.select(*columns))
+        union = F.col("nx") + F.col("na") - F.col("rx")
+        other = other.withColumn("base", union - F.col("rx") - (1 - t) * union)
+        low = F.floor(class_of(F.greatest(F.col("base"), F.lit(1.0))) - 1e-9)
+        high = F.floor(class_of(F.greatest(((1 + t) * F.col("of") - F.col("base")) / t, F.lit(0.5))) + 1e-9)
+        other = other.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("j"))
+        least = F.greatest(F.ceil((F.col("base") + t * F.pow(F.lit(RATIO), F.col("j"))) / (1 + t) - 1e-6), F.ceil(F.col("base") - 1e-6), F.lit(1))
+        other = other.filter(F.col("place") <= F.col("of") - least + 1).select("a", "h", "j", "x", "nx", "rx", "cx", "hx")
+        most = F.least("rx", "common") + F.least(F.col("nx") - F.col("rx"), F.col("n") - F.col("common"))
+        against = differs.join(stored(other), ["a", "h", "j"]).filter(apart & enough(most, F.col("nx"), F.col("n")) & enough(F.least("nx", "n"), F.col("nx"), F.col("n")))
         p, q = F.struct(F.col("x").alias("v"), F.col("nx").alias("n")), F.struct(F.col("b").alias("v"), F.col("n").alias("n"))
         ends = against.select(F.least(p, q).alias("l"), F.greatest(p, q).alias("g")).distinct()
         more = compared(settled(ends.select(F.col("l.v").alias("a"), F.col("g.v").alias("b"), F.col("l.n").alias("na"), F.col("g.n").alias("nb"))))
