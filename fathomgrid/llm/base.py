@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary one is made."""
+    """The session's ``spark.checkpoint.dir``; where none is set a temporary one is made on one machine, and a cluster is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,6 +53,13 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``shared_folder`` holds."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and columns compress."""
     spark = df.sparkSession

@@ -125,11 +125,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     Links documents with 100 * |A and B| >= percent * |A or B| over their sets of
     k-word shingles; component_id is the least doc_id of the component.
     """
-    return grouped(keyed(docs), k, percent, rows, bands).drop("k1", "k2")
+    return grouped(keyed(docs), k, percent, rows, bands).drop("k1", "k2", "head")
 
 
 def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """``near_duplicates`` of keyed documents, with their keys."""
+    """``near_duplicates`` of keyed documents, with their keys and ``head``, the least key of the component (null without words)."""
     seen = settled(docs.mapInArrow(sketches(k, rows, bands), "k1 long, k2 int, doc_id long, n long, node long, bands array<long>"))
     key = F.struct("k1", "k2")
     classes = settled(seen.filter("n > 0").groupBy("node").agg(F.min(key).alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min_by("bands", key).alias("bands")))
@@ -204,9 +204,9 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
         if not more.isEmpty():
             comps = components(edges.union(more))
 
-    placed = classes.select("node", "least").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = settled(placed.join(lowest, "comp").select("node", "component_id"))
+    placed = classes.select("node", "least", "key").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("key").alias("head"))
+    of = settled(placed.join(lowest, "comp").select("node", "component_id", "head"))
     out = seen.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), "head")

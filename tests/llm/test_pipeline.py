@@ -39,6 +39,15 @@ def test_line_dedup_takes_effect(spark, folder):
     assert docs.filter("n_chars != length(text)").count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, folder):
+    w = prose(2, 90).split()
+    near = [" ".join([*w[:i], f"x{i}", *w[i + 1 :]]) for i in (20, 30, 40)]
+    rows = [(None, near[0]), (None, near[1]), (7, near[2]), (7, near[2]), (7, " ".join(w)), (8, prose(3, 50)), (9, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, folder).collect()
+    assert len(got) == 4 and sum(r.text in (*near, " ".join(w)) for r in got) == 1
+
+
 def lines_left(spark, folder, texts):
     rows = [(i, t, "en", "a", len(t)) for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
