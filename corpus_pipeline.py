@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontam, linetree, minhash, mixing, quality
-from fathomgrid.llm.base import keyed, shared_folder, stored, table
+from fathomgrid.llm.base import deleted, keyed, shared_folder, stored, table
 
 
 def _row() -> Column:
@@ -45,7 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
-    kept = minhash.grouped(rows.select("k1", "k2", "doc_id", "text"), k=5, percent=80, rows=5, bands=40).filter("kept").select("k1", "k2")
+    groups = minhash.grouped(rows.select("k1", "k2", "doc_id", "text"), k=5, percent=80, rows=5, bands=40)
+    kept = groups.filter(F.col("head").isNull() | (F.struct("k1", "k2") == F.col("head"))).select("k1", "k2")  # ids may be null or clash
     return rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
 
 
@@ -79,4 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            deleted(spark, f"{folder}/{i - 1}")
     return docs
