@@ -100,5 +100,5 @@ def call_categories(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def call_confusion(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """(kind, UNIQUE, AMBIG, EXTERN): counts of calls (kind, token) by category."""
-    each = call_categories(calls, definitions).groupBy("kind").pivot("category", ["UNIQUE", "AMBIG", "EXTERN"]).agg(F.count("*"))
+    each = call_categories(calls, definitions).groupBy("kind").pivot("category", ["UNIQUE", "AMBIG", "EXTERN"]).agg(F.count(F.lit(1)))
     return each.fillna(0)

@@ -130,14 +130,15 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     return suggest.imported(specs, files).select("from", "to", "rel")
 
 
-_SAID = "said AS (SELECT 'docs/' || k || '.md' AS source, 'fn_' || (k % 900) AS token, 1 AS n FROM p UNION ALL SELECT 'docs/' || k || '.md', 'fn_' || (k % 11), 2 FROM p UNION ALL SELECT 'docs/' || k || '.md', 'order', 1 FROM p), sym AS (SELECT 'src/' || (k % 500) || '.py' AS target, 'fn_' || (k % 700) AS token FROM p UNION SELECT 'src/order.py', 'order')"
+_SAID = "said AS (SELECT 'docs/' || k || '.md' AS source, 'fn_' || (k % 900) AS token, 1 AS n FROM p UNION ALL SELECT 'docs/' || k || '.md', 'fn_' || (k % 11), 2 FROM p UNION ALL SELECT 'docs/' || k || '.md', 'order', 1 FROM p), sym AS (SELECT 'src/' || (k % 500) || '.py' AS target, 'fn_' || (k % 700) AS token FROM p WHERE k <= 900 UNION SELECT 'src/order.py', 'order')"
 _FOUND = _SAID + ", u AS (SELECT token, min(target) AS target FROM sym GROUP BY token HAVING count(DISTINCT target) = 1), m AS (SELECT source, token, sum(n) AS mentions FROM said GROUP BY ALL), f AS (SELECT source, target, token, mentions FROM m JOIN u USING (token))"
 
 
 def _prose(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     text = "'Uses `fn_' || (k % 900) || '` and `fn_' || (k % 11) || '`, `fn_' || (k % 11) || '`, `order` not `a b`\\n  ```\\n`fn_1`\\n  ```\\n'"
     content = _keyed(spark, d, path="'docs/' || k || '.md'", text=text)
-    symbols = _keyed(spark, d, path="'src/' || (k % 500) || '.py'", node_type="'function'", id="'A.fn_' || (k % 700)").union(spark.createDataFrame([("src/order.py", "class", "order"), ("src/x.py", "heading", "order")], "path string, node_type string, id string"))
+    few = read(spark, d, "part").filter("p_partkey <= 900").select(F.col("p_partkey").alias("k"))
+    symbols = few.selectExpr("'src/' || (k % 500) || '.py' AS path", "'function' AS node_type", "'A.fn_' || (k % 700) AS id").union(spark.createDataFrame([("src/order.py", "class", "order"), ("src/x.py", "heading", "order")], "path string, node_type string, id string"))
     return content, symbols
 
 
@@ -228,7 +229,7 @@ def column_ladder(spark: SparkSession, d: str) -> DataFrame:
     return resolve.column_ladder(_keyed(spark, d, k="k", path="'t' || k || '.csv'", name="'n' || (k % 7)"), now).select("k", "stage", "target")
 
 
-@register("row_ladder", """WITH o AS (SELECT l_orderkey AS ok, l_linenumber AS n, l_partkey || ':' || substr(sha256(l_partkey || ',' || l_suppkey), 1, 8) AS hint FROM lineitem), w AS (SELECT ok, n + CASE WHEN ok % 3 = 0 THEN 1 ELSE 0 END AS n, hint FROM o WHERE NOT (ok % 7 = 0 AND n = 1)),
+@register("row_ladder", """WITH o AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS n, l_partkey || ':' || substr(sha256(l_partkey || ',' || l_suppkey), 1, 8) AS hint FROM lineitem), w AS (SELECT ok, CAST(n + CASE WHEN ok % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n, hint FROM o WHERE NOT (ok % 7 = 0 AND n = 1)),
 m AS (SELECT ok, hint, min(n) AS t FROM w GROUP BY ALL) SELECT o.ok AS order_key, o.n AS line, CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.ok = o.ok AND w.n = o.n AND w.hint = o.hint) THEN 'I1' WHEN m.t IS NOT NULL THEN 'I2' ELSE 'I3' END AS stage,
 CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.ok = o.ok AND w.n = o.n AND w.hint = o.hint) THEN o.n ELSE m.t END AS target FROM o LEFT JOIN m USING (ok, hint)""")
 def row_ladder(spark: SparkSession, d: str) -> DataFrame:

@@ -462,12 +462,6 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return resolve.jaccard_within(sets, "conv_id", "turn")
 
 
-@register("sketch_vote_match")
-def sketch_vote_match(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return resolve.sketch_matches(docs, docs, others=True)
-
-
 @register("oplog_fold", """WITH log AS (SELECT o_custkey AS id, o_orderkey AS ts, CASE o_orderstatus WHEN 'F' THEN 'del' WHEN 'O' THEN 'add' ELSE 'retarget' END AS op, o_orderpriority AS target FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, op DESC) AS n FROM log) SELECT id, op, target, ts FROM r WHERE n = 1 AND op <> 'del'""")
 def oplog_fold(spark: SparkSession, d: str) -> DataFrame:
     op = F.when(F.col("o_orderstatus") == "F", "del").when(F.col("o_orderstatus") == "O", "add").otherwise("retarget")

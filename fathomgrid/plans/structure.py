@@ -86,12 +86,61 @@ def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("source").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-@register("shingle_sketch")
+def _crc_table() -> str:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(str(n))
+    return "[" + ", ".join(out) + "]::BIGINT[]"
+
+
+def _sketches_sql(name: str, source: str, k: int, size: int) -> str:
+    """CTEs that end in ``name`` (id, v): the sketch of each row of ``source`` (id, text), not padded.  SQL has no CRC-32 of its own."""
+    step = f"lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])"
+    octets = "list_transform(range(0, length(hex(encode(g))), 2), lambda i: ('0x' || substr(hex(encode(g)), i + 1, 2))::BIGINT)"
+    return rf"""{name}_w AS (SELECT id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w FROM {source}),
+{name}_g AS (SELECT id, unnest(CASE WHEN len(w) < {k} THEN [text] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS g FROM {name}_w),
+{name}_c AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT) AS h FROM (SELECT DISTINCT g FROM {name}_g)),
+{name} AS (SELECT id, list_slice(list_sort(list_distinct(list(h))), 1, {size}) AS v FROM {name}_g JOIN {name}_c USING (g) GROUP BY id)"""
+
+
+def _matches_sql(name: str, left: str, right: str, k: int, size: int, threshold: float, others: bool) -> str:
+    """CTEs that end in ``name`` (id, match, jaccard), like ``resolve.sketch_matches``."""
+    grams = lambda t: rf"SELECT id, list_distinct(CASE WHEN len(w) < {k} THEN [] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS s FROM (SELECT id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM {t})"
+    return f"""{_sketches_sql(name + "_l", left, k, size)}, {_sketches_sql(name + "_r", right, k, size)},
+{name}_v AS (SELECT id AS match, unnest(v) AS h FROM {name}_r), {name}_q AS (SELECT h FROM {name}_v GROUP BY h HAVING count(*) <= 200),
+{name}_p AS (SELECT id, match, count(*) AS votes FROM (SELECT id, unnest(v) AS h FROM {name}_l) JOIN {name}_v USING (h) SEMI JOIN {name}_q USING (h) {"WHERE id <> match" if others else ""} GROUP BY ALL),
+{name}_f AS (SELECT id, match FROM {name}_p QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, match) <= 40),
+{name}_x AS ({grams(left)}), {name}_y AS ({grams(right)}),
+{name}_s AS (SELECT f.id, f.match, round(len(list_intersect(x.s, y.s)) / greatest(len(list_distinct(list_concat(x.s, y.s))), 1), 6) AS jaccard FROM {name}_f f JOIN {name}_x x ON x.id = f.id JOIN {name}_y y ON y.id = f.match),
+{name} AS (SELECT * FROM {name}_s WHERE jaccard >= {threshold} QUALIFY row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, match) = 1)"""
+
+
+_DOCS = "src AS (SELECT doc_id AS id, text FROM documents)"
+
+
+@register("shingle_sketch", f"WITH {_DOCS}, {_sketches_sql('sk', 'src', 3, 32)} SELECT id AS doc_id, array_to_string(list_concat(v, list_transform(range(0, 32 - len(v)), lambda i: 4294967295::BIGINT)), ',') AS sketch FROM sk")
 def shingle_sketch(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", text.sketch(F.col("text")).alias("sketch"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(text.sketch(F.col("text")).cast("array<string>"), ",").alias("sketch"))
+
+
+@register("sketch_vote_match", f"WITH {_DOCS}, {_matches_sql('m', 'src', 'src', 3, 32, 0.4, True)} SELECT * FROM m")
+def sketch_vote_match(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return resolve.sketch_matches(docs, docs, others=True)
+
+
+def _sweep_sql() -> str:
+    ctes, rows = [r"items AS (SELECT item_id AS id, text FROM benchmark), edited AS (SELECT id, regexp_replace(text, '^(\S+) \S+', '\1 edited') AS text FROM items)"], []
+    for k in (3, 4):
+        for size in (16, 32):
+            ctes.append(_matches_sql(f"m{k}_{size}", "edited", "items", k, size, 0.3, False))
+            rows += [f"SELECT CAST({k} AS INTEGER) AS k, CAST({size} AS INTEGER) AS size, CAST({least} AS DOUBLE) AS threshold, count(*) AS matched, CAST(coalesce(sum(CASE WHEN id = match THEN 1 ELSE 0 END), 0) AS BIGINT) AS \"right\" FROM m{k}_{size} WHERE jaccard >= {least}" for least in (0.3, 0.4, 0.6)]
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(rows)}"
 
 
-@register("sketch_sweep")
+@register("sketch_sweep", _sweep_sql())
 def sketch_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Matches at several shingle widths, sketch sizes and thresholds, of benchmark items among conversations and items."""
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
