@@ -1,10 +1,13 @@
 """Repeated phrases by sharded Aho-Corasick automata.
 
-Candidate segments come from ``repeats``, each content once, with its number.  In a shard the words become characters of
-a private alphabet, so that a phrase of 20 words is a string of 20 characters; the
-phrases that recur in the shard are confirmed and compiled into an automaton, and
-all segments of the shard are streamed through it to locate every occurrence.  The
-first place of each phrase (document, then position) stays, later ones are marked.
+Candidate segments come from ``repeats``, each content once, with its number.  In a shard
+the phrases that recur are confirmed by their hashes.  Half windows become
+numbers, written in a few digits of a private alphabet with letters of their own for each
+digit, so that a phrase of 20 words is a short string and no node of the automaton has
+many branches.  A segment is read as ten such strings, one from each of its first ten
+words.  The phrases are compiled into an automaton, and all
+segments of the shard are streamed through it to locate every occurrence.  The first
+place of each phrase (document, then position) stays, later ones are marked.
 
 Null texts have no words.  Texts of fewer words than a window are left as they are.
 Equal rows count as one document; a null doc_id comes before all others.
@@ -26,47 +29,79 @@ from fathomgrid.llm.repeats import Unit, bounds, covered, repeated_windows
 WINDOW, GRAM = 20, 5
 
 
-def alphabet(hashes: np.ndarray) -> str:
-    """A string with one character for each word, equal for equal words; surrogates are left out."""
-    _, ids = np.unique(hashes, return_inverse=True)
-    ids = ids + 1
-    ids[ids >= 0xD800] += 0x800
-    return ids.astype("<u4").tobytes().decode("utf-32-le")
+#: Letters of a digit.
+BASE = 64
+
+
+def run_of(window: int) -> int:
+    """Words of a run: the largest part of a window that fits twice."""
+    return max(d for d in range(1, max(1, window // 2) + 1) if window % d == 0)
+
+
+def written(ids: np.ndarray, digits: int) -> str:
+    """Numbers in ``digits`` characters each; every digit has an alphabet of its own, so that no number is read from its middle."""
+    parts = [ids // BASE**j % BASE + BASE * j for j in range(digits)]
+    return np.stack(parts, axis=-1).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def automaton(window: int):  # noqa: ANN201
     """An engine for ``repeats.sharded``."""
+    step = run_of(window)
+    parts = window // step
 
     def run(rows: list[dict]) -> Iterator[tuple[int, int, list[int]]]:
         w = tk.Words(pa.array([r["content"] for r in rows], pa.binary()).cast(pa.string()))
-        text, first = alphabet(w.hash), w.first.tolist()
         n = len(w.hash) - window + 1
         key = tk.grams(w.hash, window)
         at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
-        _, back, times = np.unique(key[at], return_inverse=True, return_counts=True)
-        machine = ahocorasick.Automaton()
-        copies = np.array([min(r["n"], 2) for r in rows])[w.doc[at]]
-        for i in at[(times[back] > 1) | (copies > 1)].tolist():
-            phrase = text[i : i + window]
-            if phrase not in machine:
-                machine.add_word(phrase, len(machine))
-        if not len(machine):
+        _, one, back, times = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+        copies = np.array([r["n"] for r in rows])[w.doc[at]] > 1
+        again = times > 1
+        again[back[copies]] = True
+        if not again.any():
             return
+        # Runs of words that some recurring phrase has are numbers from 1 on; all others are 0.
+        used = np.zeros(len(w.hash) - step + 1, bool)
+        for j in range(0, window, step):
+            used[at[again[back]] + j] = True
+        sign = np.zeros(len(used), np.int64)
+        sign[used] = np.unique(tk.grams(w.hash, step)[used], return_inverse=True)[1] + 1
+        digits = 1
+        while BASE**digits <= sign.max():
+            digits += 1
+        long = parts * digits
+        phrases = written(sign[at[one[again]][:, None] + np.arange(0, window, step)].ravel(), digits)
+        machine = ahocorasick.Automaton()
+        for i in range(int(again.sum())):
+            machine.add_word(phrases[i * long : (i + 1) * long], i)
         machine.make_automaton()
-        places = sorted(range(len(rows)), key=lambda i: (rows[i]["k1"], rows[i]["k2"], rows[i]["a"]))
-        seen: set[int] = set()
-        for i in places:
-            later, found = np.zeros(rows[i]["len"], bool), np.zeros(rows[i]["len"], bool)
-            for end, phrase in machine.iter(text[first[i] : first[i + 1]]):
-                found[end - window + 1] = True
-                if phrase in seen:
-                    later[end - window + 1] = True
-                else:
-                    seen.add(phrase)
-            if later.any():
-                yield rows[i]["s"], 0, bounds(later)
-            if rows[i]["n"] > 1 and found.any():  # the other places of the same content come after this one
-                yield rows[i]["s"], 1, bounds(found)
+
+        # The segments in the order of their places, each as ``step`` strings, ended by 0.
+        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i]["k1"], rows[i]["k2"], rows[i]["a"])))
+        rank = np.empty(len(rows), np.int64)
+        rank[order] = np.arange(len(rows))
+        place = np.flatnonzero(w.doc[: len(sign)] == w.doc[step - 1 :])
+        string = rank[w.doc[place]] * step + (place - w.first[w.doc[place]]) % step
+        place = place[np.lexsort((place, string))]
+        string = np.sort(string)
+        slot = np.arange(len(place)) + np.cumsum(np.diff(string, prepend=string[:1]) > 0)
+        stream = np.zeros(int(slot[-1]) + 1, np.int64)
+        stream[slot] = sign[place]
+        of_slot = np.zeros(len(stream), np.int64)
+        of_slot[slot] = place
+        ends, phrase = (np.array(x, np.int64) for x in zip(*machine.iter(written(stream, digits)), strict=True))
+        start = of_slot[ends // digits - parts + 1]
+        turn = rank[w.doc[start]] * (len(w.hash) + 1) + start
+        first = np.full(int(again.sum()), np.iinfo(np.int64).max)
+        np.minimum.at(first, phrase, turn)
+        found, later = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+        found[start] = True
+        later[start] = turn != first[phrase]
+        for r, lo in zip(rows, w.first.tolist(), strict=False):
+            if (own := later[lo : lo + r["len"]]).any():
+                yield r["s"], 0, bounds(own)
+            if r["n"] > 1 and (own := found[lo : lo + r["len"]]).any():  # the other places of the same content come after this one
+                yield r["s"], 1, bounds(own)
 
     return run
 

@@ -149,6 +149,31 @@ def test_phrases(plain, limits, window):
     assert got == Counter(later_words(rows_of(plain), window))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("ab"), min_size=8, max_size=30), st.integers(1, 3)), min_size=1, max_size=5, unique_by=lambda x: tuple(x[0])))
+def test_automaton_finds_every_occurrence(segments):
+    window = 8
+    rows = [{"s": i, "n": n, "k1": (i * 7) % 5, "k2": 0, "a": i, "len": len(t) - window + 1, "content": " ".join(t).encode()} for i, (t, n) in enumerate(segments)]
+    got = {(s, copy): b for s, copy, b in phrases.automaton(window)(rows)}
+    seen = Counter()
+    for r in rows:
+        for j in range(r["len"]):
+            seen[tuple(segments[r["s"]][0][j : j + window])] += r["n"]
+    met, want = set(), {}
+    for r in sorted(rows, key=lambda r: (r["k1"], r["a"])):
+        words_ = segments[r["s"]][0]
+        found, later = [], []
+        for j in range(r["len"]):
+            p = tuple(words_[j : j + window])
+            found.append(seen[p] > 1)
+            later.append(p in met)
+            met.add(p)
+        for copy, flags in ((0, later), (1, found)):
+            if any(flags) and (copy == 0 or r["n"] > 1):
+                want[r["s"], copy] = repeats.bounds(np.array(flags))
+    assert got == want
+
+
 def test_phrases_in_odd_tables(nasty, empty):
     once = nasty.filter("doc_id is not null").filter("doc_id != 6")
     got = Counter(tuple(r) for r in phrases.without_repeats(once).collect())
