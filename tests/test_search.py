@@ -44,6 +44,30 @@ def test_equals_a_naive_ranking(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_straight_from_the_documents(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aa bb cc dd ee ff".split()) for _ in range(rng.randint(1, 300))) for _ in range(20)] + ["Aa-AA aab", "", None]
+    d, query = docs_of(spark, texts), ["aa", "ff", "aa", "zz"]
+    want = {r.doc_id: r.score for r in search.bm25(search.postings(d), search.lengths(d), query).collect()}
+    got = {r.doc_id: r.score for r in search.matched(d, query).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert search.matched(d, []).count() == 0 and search.matched(d.limit(0), ["aa"]).count() == 0
+
+
+def test_index_size_does_not_depend_on_the_ranges(spark):
+    rng = random.Random(5)
+    ids = sorted(rng.sample(range(1, 40_000), 60))
+    d = spark.createDataFrame([(i, "every " + rng.choice("aa bb cc".split()) + (" rare" if n == 30 else "")) for n, i in enumerate(ids)], "doc_id long, text string")
+    posts = search.postings(d)
+    rows = [tuple(search.index_size(posts, part=part).first()) for part in (1, 7, 500, 1 << 20)]
+    last, total = {}, 0
+    for r in sorted(posts.collect(), key=lambda r: r.doc_id):
+        gap = r.doc_id - last.get(r.term, 0)
+        total += 1 if gap < 128 else 2 if gap < 1 << 14 else 3
+        last[r.term] = r.doc_id
+    assert rows == [(len(last), 60 * 2 + 1, total)] * 4
+
+
 def test_empty_query_and_table(spark):
     d = docs_of(spark, ["a"])
     assert search.bm25(search.postings(d), search.lengths(d), []).count() == 0

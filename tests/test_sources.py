@@ -157,3 +157,34 @@ def test_symbol_table_has_byte_ranges(spark):
 def test_frontmatter():
     assert parsers.frontmatter("---\ntitle: Hello World\nstatus: draft\n---\nbody") == [("title", "Hello World"), ("status", "draft")]
     assert parsers.frontmatter("no") == []
+
+
+def test_indented_and_empty_headings():
+    found, _, _ = parsers.markdown("  # One\n   ```\n   # no\n   ```\n# \n#\n####### no\n\t## Two ##\n#three\n")
+    assert [(s.id, s.name, s.start) for s in found] == [("one", "One", 0), ("two", "Two", 46)]
+
+
+def test_underlined_titles_end_after_their_line():
+    text = "Title\n=====\ntext\n\nLast\n----"
+    found, _, _ = parsers.underlined(text)
+    assert [text[s.start : s.end] for s in found] == ["Title\n=====\n", "Last\n----"]
+
+
+def test_calls_and_docstrings(spark):
+    text = '"""Module doc."""\nclass A:\n    """Class doc."""\n    def f(self, x):\n        \'\'\'Doc of f.\'\'\'\n        if (x):  # no(1)\n            return self.g(h(x.k("s(2)")))\n'
+    content = spark.createDataFrame([("a.py", text), ("b.md", text)], "path string, text string")
+    assert sorted((r.kind, r.token) for r in parsers.calls(content).collect()) == [("attr", "k"), ("bare", "h"), ("self", "g")]
+    assert sorted(r.text for r in parsers.docstrings(content).collect()) == ["Class doc.", "Doc of f.", "Module doc."]
+
+
+def test_blobs_of_a_revision(spark, make):
+    root = make({"a.py": "x = 1\n", "b/c.py": "y = 2\n", "d.txt": "no"})
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    git("rm", "-q", "a.py")
+    git("commit", "-qm", "two")
+    assert {(r.path, r.text) for r in src.at_revision(spark, root, "HEAD~1").collect()} == {("a.py", "x = 1\n"), ("b/c.py", "y = 2\n")}
+    assert [r.path for r in src.deleted(spark, root).collect()] == ["a.py"]
+    assert src.at_revision(spark, root + "/none").count() == 0
