@@ -98,21 +98,22 @@ def _crc_table() -> str:
 def _sketches_sql(name: str, source: str, k: int, size: int) -> str:
     """CTEs that end in ``name`` (id, v): the sketch of each row of ``source`` (id, text), not padded.  SQL has no CRC-32 of its own."""
     step = f"lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])"
-    octets = "list_transform(range(0, length(hex(encode(g))), 2), lambda i: ('0x' || substr(hex(encode(g)), i + 1, 2))::BIGINT)"
+    octets = "list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)"
     return rf"""{name}_w AS (SELECT id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w FROM {source}),
 {name}_g AS (SELECT id, unnest(CASE WHEN len(w) < {k} THEN [text] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS g FROM {name}_w),
-{name}_c AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT) AS h FROM (SELECT DISTINCT g FROM {name}_g)),
-{name} AS (SELECT id, list_slice(list_sort(list_distinct(list(h))), 1, {size}) AS v FROM {name}_g JOIN {name}_c USING (g) GROUP BY id)"""
+{name}_c AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT) AS h FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM {name}_g))),
+{name} AS MATERIALIZED (SELECT id, list_slice(list_sort(list_distinct(list(h))), 1, {size}) AS v FROM {name}_g JOIN {name}_c USING (g) GROUP BY id)"""
 
 
 def _matches_sql(name: str, left: str, right: str, k: int, size: int, threshold: float, others: bool) -> str:
     """CTEs that end in ``name`` (id, match, jaccard), like ``resolve.sketch_matches``."""
     grams = lambda t: rf"SELECT id, list_distinct(CASE WHEN len(w) < {k} THEN [] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS s FROM (SELECT id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM {t})"
-    return f"""{_sketches_sql(name + "_l", left, k, size)}, {_sketches_sql(name + "_r", right, k, size)},
+    one = f"{name}_l AS (SELECT * FROM {name}_r)" if left == right else _sketches_sql(name + "_l", left, k, size)
+    return f"""{_sketches_sql(name + "_r", right, k, size)}, {one},
 {name}_v AS (SELECT id AS match, unnest(v) AS h FROM {name}_r), {name}_q AS (SELECT h FROM {name}_v GROUP BY h HAVING count(*) <= 200),
 {name}_p AS (SELECT id, match, count(*) AS votes FROM (SELECT id, unnest(v) AS h FROM {name}_l) JOIN {name}_v USING (h) SEMI JOIN {name}_q USING (h) {"WHERE id <> match" if others else ""} GROUP BY ALL),
-{name}_f AS (SELECT id, match FROM {name}_p QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, match) <= 40),
-{name}_x AS ({grams(left)}), {name}_y AS ({grams(right)}),
+{name}_f AS MATERIALIZED (SELECT id, match FROM {name}_p QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, match) <= 40),
+{name}_x AS MATERIALIZED ({grams(left)}), {name}_y AS MATERIALIZED ({grams(right)}),
 {name}_s AS (SELECT f.id, f.match, round(len(list_intersect(x.s, y.s)) / greatest(len(list_distinct(list_concat(x.s, y.s))), 1), 6) AS jaccard FROM {name}_f f JOIN {name}_x x ON x.id = f.id JOIN {name}_y y ON y.id = f.match),
 {name} AS (SELECT * FROM {name}_s WHERE jaccard >= {threshold} QUALIFY row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, match) = 1)"""
 
