@@ -18,6 +18,8 @@ linked only if  (1 + t) s >= D(x) - (1 - t) U(x) + t D(y);  two members with not
 common there could only be linked if both were linked to R.  So pairs are formed under
 shared elements of differences alone, by the rarest of them, and only with partners
 whose D is small enough: what all members of a family share with R brings none together.
+Such a pair is formed only if the parities of the two differences, dealt into bits, differ
+in no more bits than linked sets may differ in shingles; this bound passes every link.
 
 Null and empty texts, and texts of white space, have the empty set: size 0, no
 links, a component of their own.  A text with fewer words than a shingle has is one
@@ -42,6 +44,8 @@ from fathomgrid.llm.base import components, freed, keyed, settled, stored
 ROWS, BANDS = 5, 28
 #: Sizes of differences within this ratio are one class.
 RATIO = 1.25
+#: Words of 64 bits in the parities of a member's differences, at most.
+MOST_WORDS = 16
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -119,6 +123,16 @@ def sets_of(k: int):  # noqa: ANN201
     return run
 
 
+def parities() -> Column:
+    """Differences ``d`` dealt into ``w`` words of 64 bits: whether the number in each bit is odd."""
+    return F.expr("transform(sequence(0, w - 1), i -> aggregate(filter(d, h -> pmod(shiftright(h, 6), w) = i), 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 as int))))")
+
+
+def unlike(p: str, q: str) -> Column:
+    """Bits in which the parities differ: never more than the sets differ in shingles."""
+    return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -179,14 +193,17 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
         class_of = lambda d: F.log(d) / float(np.log(RATIO))
         centres, theirs = sets.select(F.col("node").alias("a"), F.col("shingles").alias("r")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s"))
         lacks = F.transform(F.array_except("r", "s"), lambda h: F.xxhash64(h))
-        differs = named.join(theirs, "b").join(centres, "a").select("a", "b", "comp", F.explode(F.concat(F.array_except("s", "r"), lacks)).alias("h"))
+        words = F.least(F.lit(MOST_WORDS), F.ceil(F.col("na") / 64).cast("int"))
+        whole = stored(named.join(theirs, "b").join(centres, "a").select("a", "b", "comp", words.alias("w"), F.concat(F.array_except("s", "r"), lacks).alias("d")))
+        bits = settled(whole.select("a", "b", parities().alias("bits")))  # before the differences become rows
+        differs = whole.select("a", "b", "comp", F.explode("d").alias("h"))
         shared = differs.groupBy("a", "h").agg(F.count("*").alias("c"), F.min("comp").alias("l"), F.max("comp").alias("m")).filter("l != m").select("a", "h", "c")
         size = F.col("n") + F.col("na") - 2 * F.col("common")
-        differs = differs.drop("comp").join(stored(shared), ["a", "h"]).join(named.withColumn("j", F.floor(class_of(size))), ["a", "b"])
-        differs = stored(differs.select("a", "b", "h", "c", "n", "common", "comp", "home", "j"))
+        differs = differs.drop("comp").join(stored(shared), ["a", "h"]).join(named.withColumn("j", F.floor(class_of(size))).join(bits, ["a", "b"]), ["a", "b"])
+        differs = stored(differs.select("a", "b", "h", "c", "n", "common", "comp", "home", "j", "bits"))
         # Of x's elements that others have, a partner of class j shares at least ``least``: the rarest but least - 1 hold one.
         mine = Window.partitionBy("a", "x")
-        other = x.join(differs.select("a", F.col("b").alias("x"), "h", "c"), ["a", "x"])
+        other = x.join(differs.select("a", F.col("b").alias("x"), "h", "c", F.col("bits").alias("bx")), ["a", "x"])
         other = other.withColumns({"place": F.row_number().over(mine.orderBy("c", "h")), "of": F.count("*").over(mine)})
         union = F.col("nx") + F.col("na") - F.col("rx")
         other = other.withColumn("base", union - F.col("rx") - (1 - t) * union)
@@ -194,9 +211,10 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
         high = F.floor(class_of(F.greatest(((1 + t) * F.col("of") - F.col("base")) / t, F.lit(0.5))) + 1e-9)
         other = other.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("j"))
         least = F.greatest(F.ceil((F.col("base") + t * F.pow(F.lit(RATIO), F.col("j"))) / (1 + t) - 1e-6), F.ceil(F.col("base") - 1e-6), F.lit(1))
-        other = other.filter(F.col("place") <= F.col("of") - least + 1).select("a", "h", "j", "x", "nx", "rx", "cx", "hx")
+        other = other.filter(F.col("place") <= F.col("of") - least + 1).select("a", "h", "j", "x", "nx", "rx", "cx", "hx", "bx")
         most = F.least("rx", "common") + F.least(F.col("nx") - F.col("rx"), F.col("n") - F.col("common"))
-        against = differs.join(stored(other), ["a", "h", "j"]).filter(apart & enough(most, F.col("nx"), F.col("n")) & enough(F.least("nx", "n"), F.col("nx"), F.col("n")))
+        near = unlike("bits", "bx") * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent)
+        against = differs.join(stored(other), ["a", "h", "j"]).filter(apart & enough(most, F.col("nx"), F.col("n")) & enough(F.least("nx", "n"), F.col("nx"), F.col("n")) & near)
         p, q = F.struct(F.col("x").alias("v"), F.col("nx").alias("n")), F.struct(F.col("b").alias("v"), F.col("n").alias("n"))
         ends = against.select(F.least(p, q).alias("l"), F.greatest(p, q).alias("g")).distinct()
         more = compared(settled(ends.select(F.col("l.v").alias("a"), F.col("g.v").alias("b"), F.col("l.n").alias("na"), F.col("g.n").alias("nb"))))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fathomgrid.llm import minhash, phrases, repeats, runs
 from fathomgrid.llm import textkernel as tk
@@ -117,6 +118,33 @@ def test_a_family_of_ten_thousand_forms_no_pairs(spark):
     assert got.filter("kept").count() == 10_000
 
 
+def test_members_that_share_a_few_edits_are_not_compared(spark, monkeypatch):
+    rng, texts = random.Random(14), []
+    for i in range(400):  # edits come from one list, so members share rare differences, and few are similar enough
+        w = [f"w{j}" for j in range(100)]
+        for at in rng.sample(range(100), 12 if i else 0):
+            w[at] = f"e{at}"
+        texts.append((i, " ".join(w)))
+        if i % 50 == 1:
+            texts.append((1000 + i, " ".join([*w, "more"])))
+    compared, settled = [], minhash.settled
+    monkeypatch.setattr(minhash, "settled", lambda df: (compared.append(df.count()) if df.columns == ["a", "b", "na", "nb"] else None, settled(df))[1])
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
+    assert got == Counter(components(rows_of(df), 3, 85))
+    assert len(compared) == 2 and compared[1] < 400  # after the stars' own pairs
+
+
+def test_parities_never_hide_a_link(spark):
+    rng = random.Random(15)
+    sets = [rng.sample(range(2000), rng.randint(0, 900)) for _ in range(30)]
+    rows = [(w, [h * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for h in s], sorted(s)) for w in (1, 5, 16) for s in sets]
+    df = spark.createDataFrame(rows, "w int, d array<long>, s array<long>").withColumn("bits", minhash.parities())
+    both = df.alias("p").join(df.alias("q"), "w").select("p.s", F.col("q.s").alias("t"), minhash.unlike("p.bits", "q.bits").alias("u"))
+    for r in both.collect():
+        assert r.u <= len(set(r.s) ^ set(r.t)) and (r.s != r.t or r.u == 0)
+
+
 def test_signatures_agree_as_often_as_the_sets():
     rng = np.random.Generator(np.random.PCG64(3))
     for size in (20, 60, 2000):
