@@ -23,7 +23,7 @@ def _row() -> Column:
 def _groups(rows: DataFrame) -> DataFrame:
     """(k1, k2, group) of keyed documents: near-duplicates, by five-word shingles at similarity 0.8 or more, share a group."""
     own = rows.select("k1", "k2", F.xxhash64("k1", "k2").alias("doc_id"), "text")  # doc_ids may be null or clash
-    return minhash.grouped(own, k=5, percent=80, rows=5, bands=40).select("k1", "k2", F.col("component_id").alias("group"))
+    return minhash.grouped(own, k=5, percent=80, rows=5, bands=40, native=True).select("k1", "k2", F.col("component_id").alias("group"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.base import settled, stored
+from fathomgrid.llm.base import settled, stored, unstored
 
 SPACES = "\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
@@ -83,7 +83,10 @@ def templates(docs: DataFrame) -> DataFrame:
     whole = settled(whole.filter(constant >= F.size("template") * CONSTANT))
     agree = F.forall(F.zip_with("template", "tokens", lambda a, b: (a == VARIABLE) | (a == b)), lambda x: x)
     general = settled(kinds.join(whole, "leaf").filter(agree).select("own", F.xxhash64(F.lit("template"), "template").alias("general")))
-    return stored(salted(flat.drop("leaf"), general, "own", "left").select("x", "pos", "n", F.coalesce("general", "own").alias("t")).distinct())
+    out = stored(salted(flat.drop("leaf"), general, "own", "left").select("x", "pos", "n", F.coalesce("general", "own").alias("t")).distinct())
+    for done in (flat, counts, wanted, kinds):
+        unstored(done)
+    return out
 
 
 def voted(at: DataFrame, votes: DataFrame, min_docs: int) -> DataFrame:

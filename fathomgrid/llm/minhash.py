@@ -31,6 +31,8 @@ where the component has none, component_id is null and kept is true.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import textkernel as tk
-from fathomgrid.llm.base import components, freed, keyed, settled, stored
+from fathomgrid.llm.base import components, freed, keyed, settled, stored, unstored
 
 #: Chance that a pair at similarity 0.85 shares no bucket: (1 - 0.85**5)**28 < 1e-7; at 0.8, with 40 bands, < 1e-6.
 ROWS, BANDS = 5, 28
@@ -46,6 +48,10 @@ ROWS, BANDS = 5, 28
 RATIO = 1.25
 #: Words of 64 bits in the parities of a member's differences, at most.
 MOST_WORDS = 16
+#: Draws in which a bin looks for a filled one, where DataFrame functions do it.
+TURNS = 32
+#: White space besides the space.
+SPACES = "\t\n\x0b\x0c\r"
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -123,6 +129,43 @@ def sets_of(k: int):  # noqa: ANN201
     return run
 
 
+def native_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with ``s`` in place of ``text``: sorted distinct k-word shingle hashes, lower-cased A-Z, by DataFrame functions alone.
+
+    The hashes are others than those of ``shingle_sets``, and odd.  Here and below, each
+    column that a lambda reads is named twice or more after it is made, or
+    Spark would compute it anew for every element.
+    """
+    plain = F.translate(F.coalesce("text", F.lit("")), SPACES + ascii_uppercase, " " * len(SPACES) + ascii_lowercase)
+    out = docs.withColumn("words", F.array_remove(F.split(plain, " "), "")).drop("text")
+    out = out.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    # With fewer words than k the first window has them all; places beyond the end are null and add nothing.
+    starts = F.greatest(F.size("h") - (k - 1), F.least(F.size("h"), F.lit(1)))
+    windows = F.transform("h", lambda h, i: F.xxhash64(h, *(F.get("h", i + j) for j in range(1, k))).bitwiseOR(F.lit(1)))
+    return out.withColumn("s", F.sort_array(F.array_distinct(F.slice(windows, F.lit(1), starts)))).drop("h")
+
+
+def native_sketches(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
+    """``sketches`` by DataFrame functions alone, over the hashes of ``native_sets``."""
+    bins = rows * bands
+    bounds = [2 * (j * 2**63 // bins) - 2**63 for j in range(bins)]  # even, so no hash; sorted in, each stands before its bin's least
+    tried = [F.lit(turn.tolist()) for turn in islice(draws(bins), TURNS)]
+    odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+    out = native_sets(docs, k)
+    out = out.select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("node"), F.sort_array(F.concat("s", F.lit(bounds))).alias("m"))
+    after = F.filter(F.concat("m", F.array(F.lit(0).cast("long"))), lambda _, i: (i > 0) & ~odd(F.get("m", i - 1)))
+    out = out.withColumn("least", F.transform(after, lambda h: F.when(odd(h), h))).drop("m")
+    out = out.withColumn("heads", F.array_compact("least"))
+
+    def borrowed(v: Column, j: Column) -> Column:
+        """The first filled bin's value; where few bins are filled, the heads are nearly the set and its least hash under j serves."""
+        return F.coalesce(v, *(F.get("least", F.get(t, j)) for t in tried), F.array_min(F.transform("heads", lambda h: F.xxhash64(h, j))))
+
+    out = out.withColumn("sig", F.transform("least", borrowed)).drop("least", "heads")
+    band = F.transform(F.sequence(F.lit(0), (F.size("sig") / rows).cast("int") - 1), lambda b: F.xxhash64(b, *(F.get("sig", b * rows + i) for i in range(rows))))
+    return out.select("k1", "k2", "doc_id", "n", "node", band.alias("bands"))
+
+
 def parities() -> Column:
     """Differences ``d`` dealt into ``w`` words of 64 bits: whether the number in each bit is odd."""
     return F.expr("transform(sequence(0, w - 1), i -> aggregate(filter(d, h -> pmod(shiftright(h, 6), w) = i), 0L, (s, h) -> s ^ shiftleft(1L, cast(h & 63 as int))))")
@@ -142,9 +185,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     return grouped(keyed(docs), k, percent, rows, bands).drop("k1", "k2", "head")
 
 
-def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """``near_duplicates`` of keyed documents, with their keys and ``head``, the least key of the component (null without words)."""
-    seen = settled(docs.mapInArrow(sketches(k, rows, bands), "k1 long, k2 int, doc_id long, n long, node long, bands array<long>"))
+def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int, native: bool = False) -> DataFrame:
+    """``near_duplicates`` of keyed documents, with their keys and ``head``, the least key of the component (null without words).
+
+    ``native``: no Python runs on the executors.
+    """
+    seen = settled(native_sketches(docs, k, rows, bands) if native else docs.mapInArrow(sketches(k, rows, bands), "k1 long, k2 int, doc_id long, n long, node long, bands array<long>"))
     key = F.struct("k1", "k2")
     classes = settled(seen.filter("n > 0").groupBy("node").agg(F.min(key).alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min_by("bands", key).alias("bands")))
 
@@ -158,7 +204,9 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
     freed(docs.sparkSession)
     # The full sets of the classes that have a pair, and of those that may get one.
     first = settled(classes.join(members.select("node").distinct(), "node").select("node", "key.k1", "key.k2"))
-    sets = stored(docs.join(first, ["k1", "k2"]).select("node", "text").mapInArrow(sets_of(k), "node long, shingles array<long>"))
+    first_texts = docs.join(first, ["k1", "k2"]).select("node", "text")
+    sets = stored(native_sets(first_texts, k).withColumnRenamed("s", "shingles") if native else first_texts.mapInArrow(sets_of(k), "node long, shingles array<long>"))
+    passing = [sets]
 
     def compared(pairs: DataFrame) -> DataFrame:
         """``pairs`` with the size of the intersection, and whether it is enough."""
@@ -197,10 +245,12 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
         whole = stored(named.join(theirs, "b").join(centres, "a").select("a", "b", "comp", words.alias("w"), F.concat(F.array_except("s", "r"), lacks).alias("d")))
         bits = settled(whole.select("a", "b", parities().alias("bits")))  # before the differences become rows
         differs = whole.select("a", "b", "comp", F.explode("d").alias("h"))
-        shared = differs.groupBy("a", "h").agg(F.count("*").alias("c"), F.min("comp").alias("l"), F.max("comp").alias("m")).filter("l != m").select("a", "h", "c")
+        shared = stored(differs.groupBy("a", "h").agg(F.count("*").alias("c"), F.min("comp").alias("l"), F.max("comp").alias("m")).filter("l != m").select("a", "h", "c"))
         size = F.col("n") + F.col("na") - 2 * F.col("common")
-        differs = differs.drop("comp").join(stored(shared), ["a", "h"]).join(named.withColumn("j", F.floor(class_of(size))).join(bits, ["a", "b"]), ["a", "b"])
+        differs = differs.drop("comp").join(shared, ["a", "h"]).join(named.withColumn("j", F.floor(class_of(size))).join(bits, ["a", "b"]), ["a", "b"])
         differs = stored(differs.select("a", "b", "h", "c", "n", "common", "comp", "home", "j", "bits"))
+        for done in (whole, shared):
+            unstored(done)
         # Of x's elements that others have, a partner of class j shares at least ``least``: the rarest but least - 1 hold one.
         mine = Window.partitionBy("a", "x")
         other = x.join(differs.select("a", F.col("b").alias("x"), "h", "c", F.col("bits").alias("bx")), ["a", "x"])
@@ -211,10 +261,11 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
         high = F.floor(class_of(F.greatest(((1 + t) * F.col("of") - F.col("base")) / t, F.lit(0.5))) + 1e-9)
         other = other.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("j"))
         least = F.greatest(F.ceil((F.col("base") + t * F.pow(F.lit(RATIO), F.col("j"))) / (1 + t) - 1e-6), F.ceil(F.col("base") - 1e-6), F.lit(1))
-        other = other.filter(F.col("place") <= F.col("of") - least + 1).select("a", "h", "j", "x", "nx", "rx", "cx", "hx", "bx")
+        other = stored(other.filter(F.col("place") <= F.col("of") - least + 1).select("a", "h", "j", "x", "nx", "rx", "cx", "hx", "bx"))
+        passing += [differs, other]
         most = F.least("rx", "common") + F.least(F.col("nx") - F.col("rx"), F.col("n") - F.col("common"))
         near = unlike("bits", "bx") * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent)
-        against = differs.join(stored(other), ["a", "h", "j"]).filter(apart & enough(most, F.col("nx"), F.col("n")) & enough(F.least("nx", "n"), F.col("nx"), F.col("n")) & near)
+        against = differs.join(other, ["a", "h", "j"]).filter(apart & enough(most, F.col("nx"), F.col("n")) & enough(F.least("nx", "n"), F.col("nx"), F.col("n")) & near)
         p, q = F.struct(F.col("x").alias("v"), F.col("nx").alias("n")), F.struct(F.col("b").alias("v"), F.col("n").alias("n"))
         ends = against.select(F.least(p, q).alias("l"), F.greatest(p, q).alias("g")).distinct()
         more = compared(settled(ends.select(F.col("l.v").alias("a"), F.col("g.v").alias("b"), F.col("l.n").alias("na"), F.col("g.n").alias("nb"))))
@@ -227,4 +278,7 @@ def grouped(docs: DataFrame, k: int, percent: int, rows: int, bands: int) -> Dat
     of = settled(placed.join(lowest, "comp").select("node", "component_id", "head"))
     out = seen.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     component = F.coalesce("component_id", "doc_id")
+    for done in passing:
+        unstored(done)
+    freed(docs.sparkSession)
     return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), "head")

@@ -1,5 +1,10 @@
+import os
+
 import corpus_pipeline
 import pytest
+from fathomgrid.llm.base import keyed, shared_folder
+from fathomgrid.llm.minhash import grouped
+from pyspark.sql import functions as F
 from tests.llm.conftest import prose
 
 
@@ -76,3 +81,23 @@ def test_line_dedup_takes_short_lines(spark, folder):
     assert lines_left(spark, folder, texts) == {i: f"{b}\n{i}.5" for i, b in body.items()}
     few = {i: texts[i] for i in range(9)}
     assert lines_left(spark, folder, few) == few
+
+
+def test_line_dedup_runs_no_python(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    monkeypatch.delattr(type(docs), "mapInArrow")
+    assert corpus_pipeline.line_dedup(spark, docs, folder).count() == 85
+
+
+@pytest.mark.parametrize("name", ["plain", "nasty"])
+def test_groups_are_the_same_with_and_without_python(request, spark, name):
+    docs = keyed(request.getfixturevalue(name))
+    got, want = (sorted(map(str, grouped(docs, 5, 80, 5, 40, native=native).collect())) for native in (True, False))
+    assert got == want
+
+
+def test_groups_leave_no_tables_behind(spark, plain):
+    at = shared_folder(spark).removeprefix("file:")
+    before = {f for f in os.listdir(at) if f.startswith("table-")}
+    assert grouped(keyed(plain), 5, 80, 5, 40).agg(F.max("component_id")).first()[0] > 0
+    assert {f for f in os.listdir(at) if f.startswith("table-")} <= before
