@@ -90,3 +90,29 @@ def test_sketch_matches_find_an_edited_text(spark):
     right = spark.createDataFrame([(7, base), (8, "something else entirely here")], "id long, text string")
     r = resolve.sketch_matches(left, right).first()
     assert r.match == 7 and r.jaccard > 0.85
+
+
+def test_sketch_matches_send_no_full_sets_of_texts_that_differ(spark):
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(400)) + " one common end") for i in range(60)] + [(60, " ".join(f"w0x{j}" for j in range(390)))]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    written = lambda: sum(e.totalShuffleWrite() for e in seq(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {(r.id, r.match) for r in resolve.sketch_matches(docs, docs, size=1000, others=True).collect()}
+        assert got == {(0, 60), (60, 0)}
+        assert written() - before < 2_000_000  # 60 texts have 40 candidates each, of 400 shingles
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sketch_matches_of_equal_sets_and_of_two_tables(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join(words)), (4, " ".join(words[:30])), (5, "a b"), (6, "a b"), (7, None), (8, " ".join(words[20:]))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {(r.id, r.match, r.jaccard) for r in resolve.sketch_matches(docs, docs, others=True).collect()}
+    assert got == {(1, 3, 1.0), (3, 1, 1.0), (4, 1, 0.736842), (8, 1, 0.473684)}
+    right = spark.createDataFrame([("x", rows[3][1]), ("y", rows[7][1]), ("z", "c d")], "id string, text string")
+    got = {(r.id, r.match, r.jaccard) for r in resolve.sketch_matches(docs, right).collect()}
+    assert got == {(1, "x", 0.736842), (3, "x", 0.736842), (4, "x", 1.0), (8, "y", 1.0)}
