@@ -64,10 +64,15 @@ FORMATS: dict[str, tuple[str, str, list[tuple[str, str, str]], list[str]]] = {
 CELLS = [("import a.b{k}\n", "import a.b{k}\ndef run_{k}():\n    pass"), ("", "# Notes {k}")]
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of parts, dealt over as many tasks as a shuffle has: their file is small, what is parsed of it is not."""
+    return read(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _content(spark: SparkSession, d: str, name: str) -> DataFrame:
     ext, marked, _, _ = FORMATS[name]
     key = F.col("p_partkey").cast("string")
-    return read(spark, d, "part").select(F.concat(F.lit(f"{name}/"), key, F.lit(f".{ext}")).alias("path"), F.replace(F.lit(MARK.sub("", marked)), F.lit("{k}"), key).alias("text"))
+    return _parts(spark, d).select(F.concat(F.lit(f"{name}/"), key, F.lit(f".{ext}")).alias("path"), F.replace(F.lit(MARK.sub("", marked)), F.lit("{k}"), key).alias("text"))
 
 
 def _sql(template: str) -> str:
@@ -108,7 +113,7 @@ def raw_imports(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyed(spark: SparkSession, d: str, **columns: str) -> DataFrame:
     """Parts with columns given as SQL over the key k."""
-    return read(spark, d, "part").select(F.col("p_partkey").alias("k")).selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
+    return _parts(spark, d).select(F.col("p_partkey").alias("k")).selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
 
 
 _K = "p AS (SELECT p_partkey AS k FROM part)"

@@ -188,3 +188,23 @@ def test_blobs_of_a_revision(spark, make):
     assert {(r.path, r.text) for r in src.at_revision(spark, root, "HEAD~1").collect()} == {("a.py", "x = 1\n"), ("b/c.py", "y = 2\n")}
     assert [r.path for r in src.deleted(spark, root).collect()] == ["a.py"]
     assert src.at_revision(spark, root + "/none").count() == 0
+
+
+def test_parts_are_parsed_in_many_tasks(spark, tmp_path):
+    from fathomgrid.plans import parsed, registry  # noqa: F401
+
+    spark.range(1, 41).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = registry.queries()["symbols_yaml"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 240
+
+
+def test_yaml_is_read_as_by_the_python_loader():
+    import yaml
+
+    for text in ("a: [1, {b: c}]\n", "- &x {k:[]}\n- *x\n", "a\tq\n\"?b\n", "? !\n: c\n", "a:\n- 1.5\n- 2020-01-01\n- yes\n", "a: b: c\n", "- " * 2000 + "x"):
+        try:
+            want = yaml.safe_load(text)
+        except Exception:
+            assert parsers.yaml_file(text) == ([], [], True)
+        else:
+            assert repr(parsers._yaml(text)) == repr(want)
